@@ -88,13 +88,14 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool =
 
 def _level(rows: DataFrame, blocks: int, seed: int, level: int, land: bool) -> DataFrame:
     """One round of flights, a task for each block of each source."""
+    columns = rows.columns
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("draw", "ascending"), ("size", "ascending")])
         draw = table.column("draw").to_numpy()
         rng = np.random.default_rng([seed, level, len(draw), int(draw[0]) & 0xFFFFFFFF])
         p = flight(table.column("p").to_numpy(), table.column("size").to_numpy().astype(float), rng, land)
-        return table.drop_columns(["block"]).set_column(table.column_names.index("p"), "p", pa.array(p)).select(rows.columns)
+        return table.drop_columns(["block"]).set_column(table.column_names.index("p"), "p", pa.array(p)).select(columns)
 
     # Other bits of the draw at every level, so that what one block leaves is spread.
     block = F.pmod(F.xxhash64("draw", F.lit(level)), F.lit(blocks)).alias("block")
