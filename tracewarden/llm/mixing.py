@@ -6,7 +6,8 @@ outright; the fraction that is left is its inclusion probability. The flight pha
 probabilities along the null space of two constraints (document total, word total): any three undecided documents
 span one such direction, and a random step along it decides at least one of them while both totals stay exact. It
 runs in hash blocks of a source, then again over what the blocks left (at most two documents each), and ends with a
-landing problem of at most two documents for each source, rounded to the nearest word total.
+landing problem of at most twelve documents for each source (the two and the ten smallest, which the last flight
+holds back), rounded to the nearest word total.
 
 Edge cases: a null source is a source of its own, ordered last; null or blank texts have size 0 and are taken 0
 words; null ids and repeated rows are rows like any others; an empty table gives no rows. Reruns agree: blocks and
@@ -25,6 +26,7 @@ from .common import cut, lookup, pick, tagged, text_key, untagged
 BLOCK_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
+LANDING = 10  # the smallest documents of a source that the last flight leaves to the landing
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -45,9 +47,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
-    """Move probabilities ``p`` until at most two are fractional, keeping sum(p) and sum(p * z); ``land`` rounds those."""
+    """Move probabilities ``p`` until at most two are fractional, keeping sum(p) and sum(p * z).
+
+    ``land`` holds the smallest documents back and rounds them with those two to the nearest total of ``z``.
+    """
     p, z = p.tolist(), z.tolist()
     todo = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
+    held: list[int] = []
+    if land:
+        todo.sort(key=lambda i: z[i], reverse=True)
+        todo, held = todo[:-LANDING], todo[-LANDING:]
     todo.reverse()
     draws = iter(rng.random(2 * len(todo) + 8).tolist())
     active: list[int] = []
@@ -75,14 +84,12 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool =
             if p[i] <= EPS or p[i] >= 1 - EPS:
                 p[i] = float(round(p[i]))
         active = [i for i in active if 0 < p[i] < 1]
-    if land and active:
-        best = None
-        for bits in range(1 << len(active)):
-            ends = [bits >> k & 1 for k in range(len(active))]
-            off = (abs(sum(z[i] * (e - p[i]) for i, e in zip(active, ends))), abs(sum(e - p[i] for i, e in zip(active, ends))), bits)
-            best = min(best, (off, ends)) if best else (off, ends)
-        for i, e in zip(active, best[1]):
-            p[i] = float(e)
+    if land and (rest := active + held):
+        bits = np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1
+        off = bits - np.array([p[i] for i in rest])
+        best = np.lexsort((np.abs(off.sum(1)), np.abs(off @ np.array([z[i] for i in rest]))))[0]
+        for i, bit in zip(rest, bits[best].tolist()):
+            p[i] = float(bit)
     return np.asarray(p)
 
 
