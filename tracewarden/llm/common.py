@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side of a join is broadcast only below this many rows (of a few dozen bytes each).
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:

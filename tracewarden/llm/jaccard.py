@@ -6,7 +6,7 @@ exact; a good one keeps posting lists short, so the sketch only has to tell the
 
 1. Documents with equal shingle sets are one class; classes with the same prefix and set size are one group.
 2. Group pairs: the groups of a prefix shingle's posting list are paired with the list's lead, filtered by size and
-   by prefix positions, and their representatives verified on whole texts; members of a group likewise with its
+   by prefix positions of the shared shingle, and their representatives verified on whole texts; members of a group likewise with its
    first. Components of these links settle most lists at once, however long: no list is paired with itself.
 3. Expansion: in lists that still hold several components, members of different components are paired, filtered and
    verified. Every pair that shares a prefix shingle is thus either verified or already in one component, so the
@@ -106,9 +106,13 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _fits(num: int, den: int, na: str, nb: str, ia: str, ib: str) -> F.Column:
-    """Sizes and prefix positions of a shared shingle that allow the similarity."""
+    """Sizes, and prefix positions of the first shared shingle, that allow the similarity.
+
+    A pair's first shared shingle leaves at most least(na - ia, nb - ib) shared ones, of which the similarity needs
+    num / (num + den) of na + nb; later shared shingles need not pass.
+    """
     small, large = F.least(na, nb), F.greatest(na, nb)
-    most = F.least(ia, ib) + 1 + F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) - 1
+    most = F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib))
     return (den * small >= num * large) & ((num + den) * most >= num * (F.col(na) + F.col(nb)))
 
 
@@ -147,9 +151,10 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sig = cut(signatures(base, k, num, den), "signatures")
     full = sig.filter("n > 0")
     members = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n")), "members")
-    groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = cut(groups.select("grp", "n", F.posexplode("prefix").alias("i", "token")), "postings")
-    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("grp", "n", "i")).alias("lead")).filter("size > 1").select("token", "lead")
+    groups = cut(full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
+    postings = groups.select("grp", "n", F.posexplode("prefix").alias("i", "token"))
+    # The lead has the shingle earliest: it has the fewest rarer ones of its own, so it is the likeliest original.
+    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("i", "grp", "n")).alias("lead")).filter("size > 1").select("token", "lead")
     shared = cut(lookup(postings, cut(lists, "lists"), ["token"], "inner"), "shared")
 
     # Group pairs: each group with the lead of its lists; members of a group with its first.
