@@ -54,6 +54,16 @@ class Piece:
     bounds: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
+    total: np.ndarray  # running sums that hash any byte span
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans (none empty)."""
+        low = np.where(start > 0, self.total[start - 1], U64(0)) if len(start) else np.zeros(0, U64)
+        return mix((self.total[end - 1] - low) * _powers[1][start] ^ (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+    def documents(self) -> np.ndarray:
+        """The document of each word, counted within the piece."""
+        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -86,7 +96,7 @@ def _piece(data: np.ndarray, offsets: np.ndarray, first: int, table: np.ndarray,
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Piece(first, none.astype(U64), none, none, np.zeros(len(offsets), np.int64), data, offsets)
+        return Piece(first, none.astype(U64), none, none, np.zeros(len(offsets), np.int64), data, offsets, none.astype(U64))
     inside = table[data]
     edge = np.zeros(n + 1, bool)  # between bytes i-1 and i a document ends
     edge[offsets] = True
@@ -98,11 +108,11 @@ def _piece(data: np.ndarray, offsets: np.ndarray, first: int, table: np.ndarray,
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    powers, inverse = _power_tables(n)
+    powers, _ = _power_tables(n)
     total = np.cumsum((_LOWER[data] if lower else data).astype(U64) * powers[:n] + powers[:n], dtype=U64)
-    low = np.where(start > 0, total[start - 1], U64(0)) if len(start) else np.zeros(0, U64)
-    words = mix((total[end - 1] - low) * inverse[start] ^ (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return Piece(first, words, start, end, np.searchsorted(start, offsets), data, offsets)
+    piece = Piece(first, total, start, end, np.searchsorted(start, offsets), data, offsets, total)
+    piece.words = piece.spans(start, end)
+    return piece
 
 
 def ngrams(words: np.ndarray, k: int) -> np.ndarray:
