@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     unlabelled = base.select("doc_id").distinct().orderBy(draw).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # At most max_positives + max_unlabelled ids: their size is bounded by parameters, whatever the corpus.
     sample = F.broadcast(positive.unionByName(unlabelled))
-    rows = cut(base.join(sample, "doc_id").select("positive", "text").repartition(16), "toxicity-sample")
+    rows = cut(base.join(sample, "doc_id").select("positive", "text").dropDuplicates().repartition(16), "toxicity-sample")
     sizes = dict(rows.groupBy("positive").count().collect())
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     none = Model(np.zeros(0, U64), np.zeros(0), float(np.log(prior / (1 - prior))) if prior and prior < 1 else (30.0 if prior else -30.0))
