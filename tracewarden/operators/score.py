@@ -27,7 +27,9 @@ def gain(bits: Column) -> Column:
 
 
 def total(base_score: Column, u: Column, g: Column, confidence: Column) -> Column:
-    return F.round(F.least(F.lit(100.0), base_score + 25 * u + 15 * g + 10 * F.least(F.lit(1.0), confidence)), 2)
+    """Null without a base score."""
+    whole = F.round(F.least(F.lit(100.0), base_score + 25 * u + 15 * g + 10 * F.least(F.lit(1.0), confidence)), 2)
+    return F.when(base_score.isNotNull(), whole)
 
 
 def level(score: Column) -> Column:
