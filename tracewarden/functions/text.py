@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CJK = "\\x{4e00}-\\x{9fff}"
 SPAN = "array<struct<start:int,end:int>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
@@ -67,7 +68,8 @@ def grams(text: Column, n: int) -> Column:
 def cjk_ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """N-grams of maximal CJK runs."""
     runs = F.regexp_extract_all(text, F.lit(f"([{CJK}]+)"), F.lit(1))
-    return F.flatten(F.concat(*[F.transform(runs, lambda run, n=n: grams(run, n)) for n in sizes]))
+    of_size = lambda n: F.transform(runs, lambda run: grams(run, n))
+    return F.flatten(F.concat(*map(of_size, sizes)))
 
 
 def word_tokens(text: Column) -> Column:

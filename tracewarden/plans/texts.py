@@ -242,7 +242,7 @@ def confirmation_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     question = turns.filter("role = 'user'").select("conv_id", "turn", F.split("text", r"[.,;\n]+").alias("fragments"))
     answer = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return question.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", detect.confirmed(F.col("answer"), F.transform("fragments", F.trim)).alias("confirmed"))
+    return question.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", detect.confirmed(F.col("answer"), F.transform("fragments", lambda f: F.trim(f))).alias("confirmed"))
 
 
 def kb_rank_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

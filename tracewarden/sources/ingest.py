@@ -20,7 +20,7 @@ def normalise(parsed: DataFrame, order: str) -> DataFrame:
     rows = parsed.withColumn("fact_text", F.trim("fact_text")).filter("coalesce(fact_text, '') <> ''")
     number = F.row_number().over(Window.orderBy(order))
     digest = F.upper(F.substring(F.sha1(F.col("fact_text").cast("binary")), 1, 10))
-    clean = F.filter(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.trim), lambda k: k != "")
+    clean = F.filter(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k != "")
     return rows.select(
         order, F.format_string("SEC-%06d-%s", number, digest).alias("id"), blank_to("category", F.lit("未分类")).alias("category"), blank_to("confidential_level", F.lit("high")).alias("confidential_level"),
         blank_to("summary", F.substring("fact_text", 1, 60)).alias("secret_summary"), F.col("fact_text").alias("secret_content"), F.array_join(clean, "；").alias("secret_keywords"),
