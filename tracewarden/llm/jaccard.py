@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from .common import cut, lookup, pick, tagged, untagged
 from .components import components
+from .idfilter import keep_wanted
 from .textnp import U64, shingle_sets
 
 SKETCH_BITS, CHUNKS = 20, 256
@@ -119,8 +120,9 @@ def _fits(num: int, den: int, na: str, nb: str, ia: str, ib: str) -> F.Column:
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole shingle sets have the similarity."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.join(members.select("node", "rep"), "node").select("node", "rep", F.coalesce("rep", F.lit(0)).alias("key")), "wanted")
-    texts = lookup(docs.withColumn("key", F.coalesce("doc_id", F.lit(0))), wanted, ["key"], "inner").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    wanted = cut(nodes.join(members.select("node", "rep"), "node").select("node", "rep", F.coalesce("rep", F.lit(0)).cast("long").alias("key")), "wanted")
+    near = keep_wanted(docs.withColumn("key", F.coalesce("doc_id", F.lit(0)).cast("long")), wanted, "key")
+    texts = near.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     def own(batches):  # ids may repeat: the text must be the node's
         for batch in batches:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lookup, pick
+from .idfilter import keep_wanted
 from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
@@ -181,8 +182,9 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
 def _aligned(pairs: DataFrame, base: DataFrame, members: DataFrame, min_words: int, similarity: float, gap: int) -> DataFrame:
     """(node, lead, spans) of the pairs that share a passage."""
     nodes = pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct()
-    wanted = cut(nodes.join(members, "node").select("node", "rep", F.coalesce("rep", F.lit(0)).alias("key")), "wanted")
-    texts = lookup(base.withColumn("key", F.coalesce("doc_id", F.lit(0))), wanted, ["key"], "inner").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    wanted = cut(nodes.join(members, "node").select("node", "rep", F.coalesce("rep", F.lit(0)).cast("long").alias("key")), "wanted")
+    near = keep_wanted(base.withColumn("key", F.coalesce("doc_id", F.lit(0)).cast("long")), wanted, "key")
+    texts = near.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     def own(batches):  # ids may repeat: the text must be the node's
         for batch in batches:
