@@ -3,8 +3,11 @@
 Each document is a sequence of 5-word shingles. For a hash function, the Cartesian tree over the shingle hashes groups
 all subsequences with the same minimum into compact windows: [l, c, r] stands for every subsequence from l..c to c..r.
 Two hash functions make a band; intersecting their windows gives the subsequences that share both minima. A row
-(key, node, start, end) is emitted for each such window that holds a subsequence of ``min_words`` words, so every
-passage of that length has a window in every band, and equal passages have equal keys.
+(key, node) is emitted for each such window that holds a subsequence of ``min_words`` words, so every passage of that
+length has a window in every band. The key also holds the shingle half a passage before the first minimum, and in a
+second row the one half a passage after it: a passage holds one of the two, so equal passages have a key in common,
+while texts that share no more than a common line have none. A passage of just ``min_words`` words and similarity 0.8
+is a candidate with probability of about 0.6 for each band; every further window adds to that.
 
 Documents that share a key are candidates. Each is aligned with the list's lead: runs of shared shingles (gaps of up
 to ``gap`` words) are kept when they cover ``min_words`` words in both documents and their shingle sets have a Jaccard
@@ -30,7 +33,7 @@ from .idfilter import keep_wanted
 from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
-BANDS, SEGMENT = 2, 4096
+BANDS, SEGMENT = 1, 4096
 SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(2 * BANDS)]
 
 
@@ -62,7 +65,12 @@ def band_windows(grams: np.ndarray, t: int) -> list[tuple[int, int, int]]:
             ok = (low <= np.minimum(a[:, None, 1], b[None, :, 1])) & (np.maximum(a[:, None, 1], b[None, :, 1]) <= high) & (high - low + 1 >= t)
             i, j = np.nonzero(ok)
             keys = mix(h1[a[i, 1]] * U64(0x9DDFEA08EB382D69) + h2[b[j, 1]] + U64(band))
-            rows += zip(keys.view(np.int64).tolist(), (low[i, j] + base).tolist(), (high[i, j] + base).tolist())
+            # Of the shingles half a passage to either side of the first minimum, a shared passage holds one at least.
+            for side in (-(t // 2), t // 2):
+                at = a[i, 1] + side
+                ok = (at >= 0) & (at < len(part))
+                both = mix(keys[ok] ^ part[at[ok]] * U64(0xC2B2AE3D27D4EB4F) ^ U64(side > 0))
+                rows += zip(both.view(np.int64).tolist(), (low[i, j][ok] + base).tolist(), (high[i, j][ok] + base).tolist())
     return rows
 
 
