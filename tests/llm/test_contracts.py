@@ -102,3 +102,16 @@ def test_passages_hold_every_shared_run(spark):
             pieces.setdefault(tuple(w[i : i + 5]), set()).add(key)
     related = set().union(*[v for v in pieces.values() if len(v) > 1])
     assert found <= related
+
+
+def test_parity_bitmaps_never_rule_out_a_link():
+    import numpy as np
+
+    from tracewarden.llm.jaccard import differing, parity
+
+    rng = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 1), (1, 3, 1), (40, 47, 38), (200, 231, 190), (60_000, 70_000, 59_000), (5, 900, 0)):
+        x = np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64))
+        a, b = np.sort(x[:n]), np.sort(x[n - both : n - both + m])
+        assert differing(parity(a), parity(b)) <= n + m - 2 * both
+    assert differing(parity(x[:300]), parity(x[300:600])) > 200

@@ -1,6 +1,6 @@
 """A bitmap semi-join filter: rows whose key can be among the wanted ones, before any shuffle.
 
-The bitmap has 16 bits for each wanted key, between 2**20 and 2**28 bits (32 MB), so what is broadcast is bounded; a
+The bitmap has 64 bits for each wanted key, between 2**20 and 2**28 bits (32 MB), so what is broadcast is bounded; a
 set too large for it lets more rows through, never fewer. A join afterwards drops the false hits.
 """
 
@@ -23,18 +23,22 @@ def _cells(column: pa.Array, bits: int) -> np.ndarray:
 
 def keep_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The rows whose ``key`` (long; null counts as 0) may occur in ``wanted``."""
-    bits = min(MOST_BITS, max(LEAST_BITS, int(16 * wanted.count()).bit_length()))
+    return split_wanted(rows, wanted, key)[0]
+
+
+def split_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` (long; null counts as 0) may occur in ``wanted``, and those whose key surely doesn't."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(64 * wanted.count()).bit_length()))
     per = (1 << bits) // CHUNKS
 
     def mark(batches):
-        marks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            cells = _cells(batch.column("k"), bits)
-            for chunk in np.unique(cells // per).tolist():
-                part = marks.setdefault(chunk, np.zeros(per, bool))
-                part[cells[cells // per == chunk] % per] = True
-        for chunk, part in marks.items():
-            yield _row(chunk, np.packbits(part))
+        cells = np.unique(np.concatenate([np.zeros(0, np.int64), *(_cells(batch.column("k"), bits) for batch in batches)]))
+        ends = np.searchsorted(cells, np.arange(CHUNKS + 1) * per)
+        for chunk, (lo, hi) in enumerate(zip(ends.tolist(), ends.tolist()[1:])):
+            if lo < hi:
+                part = np.zeros(per, bool)
+                part[cells[lo:hi] - chunk * per] = True
+                yield _row(chunk, np.packbits(part))
 
     def unite(batches):
         marks: dict[int, np.ndarray] = {}
@@ -52,12 +56,16 @@ def keep_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
         bitmap[chunk] = np.frombuffer(bytes(packed), np.uint8)
     held = rows.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
-    def keep(batches):
-        for batch in batches:
-            cells = _cells(batch.column(key), bits)
-            yield batch.filter(pa.array((held.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)))
+    def side(hit):
+        def keep(batches):
+            for batch in batches:
+                cells = _cells(batch.column(key), bits)
+                found = (held.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(found == hit))
+
+        return rows.mapInArrow(keep, rows.schema)
 
-    return rows.mapInArrow(keep, rows.schema)
+    return side(True), side(False)
 
 
 def _row(chunk: int, packed: np.ndarray) -> pa.RecordBatch:

@@ -12,6 +12,10 @@ exact; a good one keeps posting lists short, so the sketch only has to tell the
    verified. Every pair that shares a prefix shingle is thus either verified or already in one component, so the
    components are exactly those of all links.
 
+A pair is verified on whole texts only if the parity bitmaps of its sets allow the similarity: each set has a bitmap of
+about two bits a shingle, which flips the bit of each shingle's hash; bits that differ are never more than shingles
+that do, so the bound loses no link.
+
 Edge cases: null, empty and blank texts have no shingles and link with nothing; texts of fewer words than a shingle
 are one shingle; repeated rows are copies; a null id never becomes a component id while another id is in reach; an
 empty table gives no rows. Shingles are compared by 64-bit hashes, sets by 128-bit ones.
@@ -29,10 +33,11 @@ from pyspark.sql import types as T
 
 from .common import cut, lookup, pick, tagged, untagged
 from .components import components
-from .idfilter import keep_wanted
+from .idfilter import keep_wanted, split_wanted
 from .textnp import U64, shingle_sets
 
 SKETCH_BITS, CHUNKS = 20, 256
+PARITY_BITS = (64, 1 << 16)  # least and most bits of a set's bitmap; powers of two
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -77,15 +82,31 @@ def node_of(shingles: np.ndarray) -> bytes | None:
     return blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Bitmap of the set: the bit of each shingle's low hash bits, flipped once for each shingle."""
+    least, most = PARITY_BITS
+    bits = min(most, max(least, 1 << (2 * len(shingles) - 1).bit_length() if len(shingles) else 0))
+    counts = np.bincount((shingles & U64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits that differ; the longer bitmap is folded to the length of the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, grp, prefix): set size, 128-bit hash of the set, group key, prefix shingles in order."""
+    """(doc_id, n, node, grp, prefix, bits): set size, 128-bit hash of the set, group key, prefix shingles in order, parity bitmap."""
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, k))
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, node binary, grp long, prefix array<long>").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, node binary, grp long, prefix array<long>, bits binary").fields])
 
     def run(batches):
         counts = sketch.value
         for batch in batches:
-            sizes, nodes, groups, ends, flat = [], [], [], [0], []
+            sizes, nodes, groups, ends, flat, bits = [], [], [], [0], [], []
             for s in shingle_sets(batch.column("text"), k):
                 n = len(s)
                 sizes.append(n)
@@ -97,11 +118,12 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     groups.append(int.from_bytes(blake2b(prefix.tobytes() + n.to_bytes(8), digest_size=8).digest(), "big", signed=True))
                 else:
                     groups.append(None)
+                bits.append(parity(s) if n else None)
                 flat.append(prefix)
                 ends.append(ends[-1] + len(prefix))
             tokens = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), lists], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), lists, pa.array(bits, pa.binary())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -117,19 +139,41 @@ def _fits(num: int, den: int, na: str, nb: str, ia: str, ib: str) -> F.Column:
     return (den * small >= num * large) & ((num + den) * most >= num * (F.col(na) + F.col(nb)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, rep_a, rep_b) of the pairs of nodes whose parity bitmaps allow the similarity."""
+    sides = pairs
+    for x in ("a", "b"):
+        sides = sides.join(members.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+    out = sides.select("a", "b", "rep_a", "rep_b")
+    names, schema = out.columns, out.schema
+
+    def may(batches):
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
+                most = (n + m - differing(x, y)) // 2
+                ok.append(den * most >= num * (n + m - most))
+            yield batch.select(names).filter(pa.array(ok, pa.bool_()))
+
+    return cut(sides.mapInArrow(may, schema), "possible")
+
+
+def verified(tried: DataFrame, docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole shingle sets have the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(nodes.join(members.select("node", "rep"), "node").select("node", "rep", F.coalesce("rep", F.lit(0)).cast("long").alias("key")), "wanted")
-    near = keep_wanted(docs.withColumn("key", F.coalesce("doc_id", F.lit(0)).cast("long")), wanted, "key")
-    texts = near.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    pairs = possible(tried, members, num, den)
+    reps = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep")))
+    wanted = cut(reps.select(F.coalesce("rep", F.lit(0)).cast("long").alias("key")).distinct(), "wanted")
+    near = keep_wanted(docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text"), wanted, "key")
 
-    def own(batches):  # ids may repeat: the text must be the node's
+    def own(batches):
         for batch in batches:
-            same = [node_of(s) == node for s, node in zip(shingle_sets(batch.column("text"), k), batch.column("node").to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
+            nodes = [node_of(s) for s in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text")], names=["node", "text"]).filter(pa.array([x is not None for x in nodes], pa.bool_()))
 
-    texts = cut(texts.mapInArrow(own, "node binary, text string").dropDuplicates(["node"]), "texts")
+    # Ids may repeat, and with them texts; texts that no pair names fall out of the joins.
+    texts = cut(near.mapInArrow(own, "node binary, text string"), "texts")
+    if not texts.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").isEmpty():
+        texts = cut(texts.dropDuplicates(["node"]), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches):
@@ -152,16 +196,20 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     base = pick(docs, doc_id=id_col, text=text_col)
     sig = cut(signatures(base, k, num, den), "signatures")
     full = sig.filter("n > 0")
-    members = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n")), "members")
-    groups = cut(full.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
-    postings = groups.select("grp", "n", F.posexplode("prefix").alias("i", "token"))
+    members = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.first("bits").alias("bits")), "members")
+    # Only groups of several documents are brought together; prefixes of all others stay where they are.
+    crowded = cut(full.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp"), "crowded")
+    several, single = split_wanted(full.select("grp", "n", "prefix"), crowded, "grp")
+    several = cut(several.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
+    postings = single.unionByName(several).select("grp", "n", F.posexplode("prefix").alias("i", "token"))
+    lists = cut(postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "lists")
+    shared = cut(lookup(keep_wanted(postings, lists, "token"), lists, ["token"], "inner"), "shared")
     # The lead has the shingle earliest: it has the fewest rarer ones of its own, so it is the likeliest original.
-    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("i", "grp", "n")).alias("lead")).filter("size > 1").select("token", "lead")
-    shared = cut(lookup(postings, cut(lists, "lists"), ["token"], "inner"), "shared")
+    leads = shared.groupBy("token").agg(F.min(F.struct("i", "grp", "n")).alias("lead"))
 
     # Group pairs: each group with the lead of its lists; members of a group with its first.
     heads = members.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("size"))
-    star = shared.filter("grp != lead.grp").select("grp", F.col("lead.grp").alias("to"), "n", F.col("lead.n").alias("m"), "i", F.col("lead.i").alias("j"))
+    star = shared.join(leads, "token").filter("grp != lead.grp").select("grp", F.col("lead.grp").alias("to"), "n", F.col("lead.n").alias("m"), "i", F.col("lead.i").alias("j"))
     star = star.filter(_fits(num, den, "n", "m", "i", "j")).select("grp", "to").distinct()
     star = star.join(heads.select("grp", F.col("node").alias("a")), "grp").join(heads.select(F.col("grp").alias("to"), F.col("node").alias("b")), "to").select("a", "b")
     inner = members.join(heads.filter("size > 1").select("grp", F.col("node").alias("a")), "grp").filter("node != a").select("a", F.col("node").alias("b"))
@@ -170,12 +218,12 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     # Expansion: members of different components in one list, each list's largest component on one side only.
     roots = components(links)
-    spots = shared.select("token", "grp", "i").join(members.select("grp", "node", "n"), "grp").join(roots, "node", "left")
-    spots = spots.select("token", "node", "n", "i", F.coalesce("root", "node").alias("root"))
-    mixed = spots.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("size", "root"))["root"].alias("major")).filter("roots > 1")
-    spots = cut(lookup(spots, mixed.select("token", "major"), ["token"], "inner"), "spots")
-    left = spots.filter("root != major").select("token", "major", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("root").alias("ra"))
-    right = spots.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("root").alias("rb"))
+    homes = cut(members.select("node", "grp", "n").join(roots, "node", "left").select("node", "grp", "n", F.coalesce("root", "node").alias("root")), "homes")
+    spots = cut(shared.select("token", "grp", "i").join(homes, "grp").select("token", "node", "n", "i", "root", F.xxhash64("root").alias("r")), "spots")
+    mixed = spots.groupBy("token", "r").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("size", "r"))["r"].alias("major")).filter("roots > 1")
+    spots = cut(lookup(spots, cut(mixed.select("token", "major"), "mixed"), ["token"], "inner"), "spots")
+    left = spots.filter("r != major").select("token", "major", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("r").alias("ra"))
+    right = spots.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("r").alias("rb"))
     cross = left.join(right, "token").filter((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("major")) | (F.col("ra") < F.col("rb"))) & _fits(num, den, "na", "nb", "ia", "ib"))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     cross = cut(cross, "pairs")
