@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only below this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 20_000
 
+# Arrow batches of whole texts hold about this much; a batch is in memory several times, in the JVM and in Python.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Select columns by exact name (``out=source``); the first exact match wins.
@@ -63,6 +67,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(f):
+    """Runs ``f(docs, ...)``, which cuts what it computes, with Arrow batches of bounded bytes; then restores the session."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs):
+        conf = docs.sparkSession.conf
+        before = {key: conf.get(key) for key in BATCH}
+        try:
+            for key, value in BATCH.items():
+                conf.set(key, value)
+            return f(docs, *args, **kwargs)
+        finally:
+            for key, value in before.items():
+                conf.set(key, value)
+
+    return run
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on ``keys``: broadcasts ``small`` only after counting it, else leaves a skew-split shuffle join."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lookup, pick, tagged, untagged
+from .common import cut, lookup, pick, small_batches, tagged, untagged
 from .components import components
 from .idfilter import keep_wanted, split_wanted
 from .textnp import U64, shingle_sets
@@ -188,6 +188,7 @@ def verified(tried: DataFrame, docs: DataFrame, members: DataFrame, k: int, num:
     return cut(sides.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"), "links")
 
 
+@small_batches
 def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Links when den * |A & B| >= num * |A | B|. Returns documents (doc_id, n, node) and classes (node, rep, root, component_id).
 
