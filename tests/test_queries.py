@@ -1,9 +1,9 @@
 import pytest
 
 from tests.oracle import SF, agree
-from tracewarden.plans import reduction, texts
+from tracewarden.plans import reduction, serving, texts
 
-QUERIES, SQL = {**reduction.QUERIES, **texts.QUERIES}, {**reduction.SQL, **texts.SQL}
+QUERIES, SQL = {**reduction.QUERIES, **texts.QUERIES, **serving.QUERIES}, {**reduction.SQL, **texts.SQL, **serving.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import boundary_pattern
+from ..functions.text import boundary_pattern, escape_regex
 
 # Sweeps of amounts, rates and ratings, and the mark of bare ids.
 SWEEPS = {
@@ -65,3 +65,26 @@ def recheck(text: Column, terms: Column, fields: dict[str, str], fallback: str)
     once = fold(text, terms)
     twice = sweep(once, fields)
     return F.when(~left(once), once).when(~left(twice), twice).otherwise(fallback)
+
+
+# Words that follow the first two parts of a version.
+FAMILY = r"(?:{0}\s*系列中受影响的小版本|{0}\s*分支中的受影响版本|(?<![A-Za-z0-9_.\-]){0}\s*(?:系列|分支|版本线|小版本|受影响版本|相关版本)(?![A-Za-z0-9_.\-]))"
+
+
+def fuzz_version(text: Column, term: Column, replacement: str = "X") -> Column:
+    """Replaces a term with a version in the forms it is usually cited in, the most specific first.
+
+    Product and version (any separator, an optional v), the family of the first two parts with a word such as 系列,
+    the bare version, and the literal. A term without a version is replaced literally; null stays null.
+    """
+    edge, safe = r"[A-Za-z0-9_.\-]", replacement.replace("\\", "\\\\").replace("$", "\\$")
+    version = F.regexp_extract(term, r"\d+(?:\.\d+){1,3}", 0)
+    product = F.regexp_replace(F.regexp_extract(term, r"(?s)^(.*?)\d+(?:\.\d+){1,3}", 1), r"^[ \-_:/，,;；]+|[ \-_:/，,;；]+$", "")
+    body = F.regexp_replace(F.regexp_replace(escape_regex(product), "-", r"[\\s_\\-]*"), " ", r"[\\s_\\-]+")
+    number, family = escape_regex(version), escape_regex(F.regexp_extract(version, r"^\d+\.\d+", 0))
+    cited = F.concat(F.lit(rf"(?i)(?<!{edge})"), body, F.lit(r"\s*[\-_:]?\s*v?\s*"), number, F.lit(rf"(?!{edge})"))
+    bare = F.concat(F.lit(rf"(?i)(?<!{edge})v?\s*"), number, F.lit(rf"(?!{edge})"))
+    families = F.replace(F.lit("(?i)" + FAMILY.replace("{0}", "@@")), F.lit("@@"), family)
+    out = F.when(product != "", F.regexp_replace(text, cited, F.lit(safe))).otherwise(text)
+    out = F.regexp_replace(F.regexp_replace(out, families, F.lit(safe)), bare, F.lit(safe))
+    return F.regexp_replace(F.when(version != "", out).otherwise(text), boundary_pattern(term), F.lit(safe))
