@@ -114,6 +114,22 @@ def test_passages(spark):
     assert (2, 1) in pairs and not {r.doc_id for r in got} & {4, 5, 6, 7, 8, 12, 13, *range(100, 130)}
 
 
+def test_passages_with_one_edit_share_a_key():
+    import numpy as np
+
+    from tracewarden.llm.textnp import ngrams
+
+    rng = np.random.default_rng(3)
+    words = lambda n: rng.integers(0, 1 << 60, n)
+    for edit in (lambda w, i: np.r_[w[:i], words(1), w[i + 1 :]], lambda w, i: np.insert(w, i, words(1)), lambda w, i: np.delete(w, i)):
+        met = 0
+        for _ in range(60):
+            w = words(51)
+            keys = [{int(row[0]) for row in passages.band_windows(ngrams(np.r_[words(60), v, words(60)].astype(np.uint64), 5), 46)} for v in (w, edit(w, int(rng.integers(5, 45))))]
+            met += bool(keys[0] & keys[1])
+        assert met >= 51
+
+
 def test_models(spark):
     for rows in (labels(spark), labels(spark).filter("false"), labels(spark).filter("toxic = 1")):
         model = toxicity.train(odd(spark), rows)

@@ -3,11 +3,13 @@
 Each document is a sequence of 5-word shingles. For a hash function, the Cartesian tree over the shingle hashes groups
 all subsequences with the same minimum into compact windows: [l, c, r] stands for every subsequence from l..c to c..r.
 Two hash functions make a band; intersecting their windows gives the subsequences that share both minima. A row
-(key, node) is emitted for each such window that holds a subsequence of ``min_words`` words, so every passage of that
-length has a window in every band. The key also holds the shingle half a passage before the first minimum, and in a
-second row the one half a passage after it: a passage holds one of the two, so equal passages have a key in common,
-while texts that share no more than a common line have none. A passage of just ``min_words`` words and similarity 0.8
-is a candidate with probability of about 0.6 for each band; every further window adds to that.
+(key, node, interval) is emitted for each such window that holds a subsequence of ``min_words`` words, so every passage
+of that length has a window in every band. The key also holds the least, by a third function, of the shingles about
+half a passage before the first minimum, and in a second row of those after it: a passage holds one of the two sides,
+so equal passages have a key in common in every band, while texts that share no more than a common line have none. The
+interval goes from the first to the last of the key's three shingles. ``BANDS`` bands are tried, and one is enough: a
+passage of just ``min_words`` words with one word changed, added or left out is a candidate with probability of about
+0.96 (0.7 for each band).
 
 Documents that share a key are candidates. Each is aligned with the list's lead: runs of shared shingles (gaps of up
 to ``gap`` words) are kept when they cover ``min_words`` words in both documents and their shingle sets have a Jaccard
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, pick
+from .common import cut, lookup, pick, small_batches
 from .idfilter import keep_wanted
 from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
-BANDS, SEGMENT = 1, 4096
-SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(2 * BANDS)]
+BANDS, SEGMENT = 4, 4096
+SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(3 * BANDS)]
 
 
 def compact_windows(h: np.ndarray, t: int) -> np.ndarray:
@@ -50,28 +52,36 @@ def compact_windows(h: np.ndarray, t: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def band_windows(grams: np.ndarray, t: int) -> list[tuple[int, int, int]]:
-    """(key, start, end) of subsequences of at least t shingles that share both minima of a band."""
-    rows = []
-    step = SEGMENT - t + 1
-    for base in range(0, max(1, len(grams) - t + 1), step):
+def band_windows(grams: np.ndarray, t: int) -> np.ndarray:
+    """Rows (key, start, end) of subsequences of at least t shingles that share the minima of a band.
+
+    start and end are the first and the last of the three shingles that the key stands for.
+    """
+    rows = [np.zeros((0, 3), np.int64)]
+    far, wide = t // 2, t // 6 + 1
+    for base in range(0, max(1, len(grams) - t + 1), SEGMENT - t + 1):
         part = grams[base : base + SEGMENT]
         for band in range(BANDS):
-            h1, h2 = mix(part ^ SEEDS[2 * band]), mix(part ^ SEEDS[2 * band + 1])
+            h1, h2, h3 = (mix(part ^ seed) for seed in SEEDS[3 * band : 3 * band + 3])
             a, b = compact_windows(h1, t), compact_windows(h2, t)
             if not len(a) or not len(b):
                 continue
             low, high = np.maximum(a[:, None, 0], b[None, :, 0]), np.minimum(a[:, None, 2], b[None, :, 2])
             ok = (low <= np.minimum(a[:, None, 1], b[None, :, 1])) & (np.maximum(a[:, None, 1], b[None, :, 1]) <= high) & (high - low + 1 >= t)
             i, j = np.nonzero(ok)
-            keys = mix(h1[a[i, 1]] * U64(0x9DDFEA08EB382D69) + h2[b[j, 1]] + U64(band))
-            # Of the shingles half a passage to either side of the first minimum, a shared passage holds one at least.
-            for side in (-(t // 2), t // 2):
-                at = a[i, 1] + side
-                ok = (at >= 0) & (at < len(part))
-                both = mix(keys[ok] ^ part[at[ok]] * U64(0xC2B2AE3D27D4EB4F) ^ U64(side > 0))
-                rows += zip(both.view(np.int64).tolist(), (low[i, j][ok] + base).tolist(), (high[i, j][ok] + base).tolist())
-    return rows
+            first, second, low, high = a[i, 1], b[j, 1], low[i, j], high[i, j]
+            keys = mix(h1[first] * U64(0x9DDFEA08EB382D69) + h2[second] + U64(band))
+            around = np.lib.stride_tricks.sliding_window_view(h3, wide)
+            # Of the shingles up to half a passage to either side of the first minimum, a shared passage holds one side at least.
+            for side in (-1, 1):
+                edge = first + side * far
+                ok = (edge >= low) & (edge <= high)
+                left = np.minimum(edge, edge - side * (wide - 1))[ok]
+                third = left + around[left].argmin(1)
+                both = mix(keys[ok] ^ h3[third] * U64(0xC2B2AE3D27D4EB4F) ^ U64(side > 0))
+                places = np.stack([first[ok], second[ok], third]) + base
+                rows.append(np.stack([both.view(np.int64), places.min(0), places.max(0)], 1))
+    return np.unique(np.concatenate(rows), axis=0)
 
 
 def node_hash(words: np.ndarray) -> int | None:
@@ -132,6 +142,7 @@ def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap:
 SPANS = "array<struct<start:long,end:long,lead_start:long,lead_end:long,similarity:double>>"
 
 
+@small_batches
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, keeper_id, keeper_start, keeper_end, similarity, is_keeper).
 
@@ -143,19 +154,21 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
 
     def windows(batches):
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, ends, rows = [], [], [0], [np.zeros((0, 3), np.int64)]
             for words, grams in _documents(batch.column("text")):
                 nodes.append(node_hash(words))
                 sizes.append(len(words))
-                rows = band_windows(grams, t) if len(grams) >= t else []
-                keys.append(sorted({k for k, _, _ in rows}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys"])
+                rows.append(band_windows(grams, t) if len(grams) >= t else rows[0])
+                ends.append(ends[-1] + len(rows[-1]))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(c))) for c in np.concatenate(rows).T]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "node", "n", "keys", "starts", "ends"])
 
-    seen = cut(base.mapInArrow(windows, "doc_id long, node long, n long, keys array<long>").filter(F.col("n") >= min_words), "windows")
+    seen = cut(base.mapInArrow(windows, "doc_id long, node long, n long, keys array<long>, starts array<long>, ends array<long>").filter(F.col("n") >= min_words), "windows")
     members = cut(seen.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "nodes")
-    spread = seen.select("node", F.explode("keys").alias("key"))
+    spread = seen.select("node", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("w")).select(F.col("w.keys").alias("key"), "node", F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
     lists = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    open_ = cut(lookup(spread, cut(lists, "lists"), ["key"], "inner").distinct(), "open")
+    lists = cut(lists, "lists")
+    open_ = cut(lookup(keep_wanted(spread, lists, "key"), lists, ["key"], "inner").distinct(), "open")
 
     found, tried = None, None
     while True:
@@ -170,7 +183,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
         tried = pairs if tried is None else tried.unionByName(pairs)
         # A key is settled for the nodes that align with its lead; the lead itself has met all others.
         settled = found.select("node", "lead").distinct()
-        left = cut(paired.join(settled, ["node", "lead"], "left_anti").select("key", "node"), "open")
+        left = cut(paired.join(settled, ["node", "lead"], "left_anti").select("key", "node", "start", "end"), "open")
         more = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
         if more.isEmpty():
             break
