@@ -130,6 +130,22 @@ def test_passages_with_one_edit_share_a_key():
         assert met >= 51
 
 
+def test_passages_whose_parts_the_lead_repeats():
+    import numpy as np
+
+    from tracewarden.llm.textnp import ngrams
+
+    rng = np.random.default_rng(4)
+    own = lambda n: rng.integers(0, 1 << 60, n)
+    p = own(58)
+    x = [own(60), p, own(60)]
+    for lead in ([own(20), p[:30], own(40), p, own(60)], [p[:30], own(20), p[25:], own(20), p[:30], own(40), p, own(9)]):
+        place = sum(len(v) for v in lead[:-2])
+        shingled = [ngrams(np.concatenate(v).astype(np.uint64), 5) for v in (x, lead)]
+        assert (60, 118, place, place + 58, 1.0) in passages.align(*shingled, 50, 0.8, 12)
+        assert (place, place + 58, 60, 118, 1.0) in passages.align(*shingled[::-1], 50, 0.8, 12)
+
+
 def test_models(spark):
     for rows in (labels(spark), labels(spark).filter("false"), labels(spark).filter("toxic = 1")):
         model = toxicity.train(odd(spark), rows)

@@ -13,7 +13,8 @@ passage of just ``min_words`` words with one word changed, added or left out is
 
 Documents that share a key are candidates. Each is aligned with the list's lead: runs of shared shingles (gaps of up
 to ``gap`` words) are kept when they cover ``min_words`` words in both documents and their shingle sets have a Jaccard
-similarity of at least ``similarity``; a run that does not is split at its widest gap. Documents that do not align
+similarity of at least ``similarity``; a run that does not is split at its widest gap. A new run also reaches back along
+its own diagonal, and equal passages are looked up whole, as the lead may hold their parts in other places too. Documents that do not align
 with the lead go on to the next round under a new lead, until none is left, so a list of m members costs about m
 alignments and never all pairs. Equal word sequences are one node; copies are spelled out in the result only.
 
@@ -25,6 +26,8 @@ are copies; null ids count as the largest; an empty table gives no rows. Hashes
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,20 +111,27 @@ def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap:
     at = np.flatnonzero(hi > lo)
     if not len(at):
         return []
-    # Chain matches: of a shingle's places in y the one nearest to where the last match leads.
-    runs, run, last_i, last_j = [], [], -1, -1
-    for i, a, b in zip(at.tolist(), lo[at].tolist(), hi[at].tolist()):
-        if run:
-            aim = last_j + i - last_i
-            j = int(order[a]) if b == a + 1 else min(order[a:b].tolist(), key=lambda v: abs(v - aim))
-            if i - last_i > gap or abs(j - aim) > gap or j <= last_j:
-                runs.append(run)
-                run = []
-        else:
-            j = int(order[a])
-        run.append((i, j))
-        last_i, last_j = i, j
-    runs.append(run)
+    places, spots, froms, tos = order.tolist(), at.tolist(), lo[at].tolist(), hi[at].tolist()
+
+    def chain(k: int, j: int, way: int) -> list[tuple[int, int]]:
+        """Matches that follow match k at place j in one direction: of a shingle's places in y the one nearest to where they lead."""
+        run, i = [], spots[k]
+        while 0 <= (k := k + way) < len(spots):
+            i2, aim = spots[k], j + spots[k] - i
+            n = bisect_left(places, aim, froms[k], tos[k])
+            j2 = min(places[max(n - 1, froms[k]) : min(n + 1, tos[k])], key=lambda v: abs(v - aim))
+            if abs(i2 - i) > gap or abs(j2 - aim) > gap or (j2 - j) * way <= 0:
+                break
+            run.append((i2, j2))
+            i, j = i2, j2
+        return run
+
+    runs, k = [], 0
+    while k < len(spots):
+        # A run that starts elsewhere in y may have its own beginning where the last run was.
+        ahead, back = chain(k, places[froms[k]], 1), chain(k, places[froms[k]], -1)
+        runs.append([*back[::-1], (spots[k], places[froms[k]]), *ahead])
+        k += 1 + len(ahead)
     out, todo = [], runs
     while todo:
         run = todo.pop()
@@ -136,7 +146,27 @@ def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap:
         elif len(run) > 1:
             wide = max(range(1, len(run)), key=lambda k: max(run[k][0] - run[k - 1][0], run[k][1] - run[k - 1][1]))
             todo += [run[:wide], run[wide:]]
-    return sorted(out)
+    return sorted({*out, *_exact(x, y, at, out, min_words)})
+
+
+def _exact(x: np.ndarray, y: np.ndarray, at: np.ndarray, known: list, min_words: int) -> list[tuple[int, int, int, int, float]]:
+    """Equal passages of ``min_words`` words that no known one holds, wherever y has their parts besides."""
+    t, out = min_words - SHINGLE + 1, []
+    held = lambda i, end: any(s[0] <= i and end <= s[1] for s in [*known, *out])
+    if not any(len(part) >= t and not held(part[0], part[-1] + SHINGLE) for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)):
+        return []
+    wx, wy = ngrams(x, t), ngrams(y, t)
+    order = np.argsort(wy, kind="stable")
+    place = np.searchsorted(wy[order], wx)
+    for i in np.flatnonzero(place < np.searchsorted(wy[order], wx, "right")).tolist():
+        if held(i, i + min_words):
+            continue
+        j = int(order[place[i]])
+        ahead, back = x[i : i + len(y) - j] != y[j : j + len(x) - i], x[max(0, i - j) : i][::-1] != y[max(0, j - i) : j][::-1]
+        after, before = (int(d.argmax()) if d.any() else len(d) for d in (ahead, back))
+        if after >= t:
+            out.append((i - before, i + after - 1 + SHINGLE, j - before, j + after - 1 + SHINGLE, 1.0))
+    return out
 
 
 SPANS = "array<struct<start:long,end:long,lead_start:long,lead_end:long,similarity:double>>"
