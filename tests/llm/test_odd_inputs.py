@@ -146,6 +146,34 @@ def test_passages_whose_parts_the_lead_repeats():
         assert (place, place + 58, 60, 118, 1.0) in passages.align(*shingled[::-1], 50, 0.8, 12)
 
 
+def test_passages_of_a_list_whose_lead_shares_another(spark):
+    import random
+
+    from tracewarden.llm.textnp import ngrams, pieces
+
+    def hashed(text):
+        import pyarrow as pa
+
+        return next(iter(pieces(pa.array([text]), "space"))).words
+
+    for seed in range(3000):
+        rng = random.Random(seed)
+        own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        q, p = own(60), own(50)
+        lead, x, y = ([*own(9), *q, *own(30), *p[2:-2], *own(30)], [*own(40), *p, *own(30), *q, *own(9)], [*own(30), *p, *own(40)])
+        words = [hashed(" ".join(v)) for v in (lead, x, y)]
+        nodes = [passages.node_hash(w) for w in words]
+        if nodes[0] == min(nodes):
+            keys = [{int(row[0]) for row in passages.band_windows(ngrams(w, 5), 46)} for w in words]
+            if keys[1] & keys[2] and keys[1] & keys[2] <= keys[0]:
+                break
+    else:
+        raise AssertionError("no case")
+    rows = [(i, " ".join(v), "en", "a", 1) for i, v in enumerate((lead, x, y))]
+    got = {(r.doc_id, r.keeper_id) for r in passages.shared_passages(odd(spark, rows, False)).collect() if not r.is_keeper}
+    assert (1, 0) in got and got & {(1, 2), (2, 1)}
+
+
 def test_models(spark):
     for rows in (labels(spark), labels(spark).filter("false"), labels(spark).filter("toxic = 1")):
         model = toxicity.train(odd(spark), rows)

@@ -15,8 +15,8 @@ Documents that share a key are candidates. Each is aligned with the list's lead:
 to ``gap`` words) are kept when they cover ``min_words`` words in both documents and their shingle sets have a Jaccard
 similarity of at least ``similarity``; a run that does not is split at its widest gap. A new run also reaches back along
 its own diagonal, and equal passages are looked up whole, as the lead may hold their parts in other places too. Documents that do not align
-with the lead go on to the next round under a new lead, until none is left, so a list of m members costs about m
-alignments and never all pairs. Equal word sequences are one node; copies are spelled out in the result only.
+with the lead over the key's own interval go on to the next round under a new lead, until none is left, so a list of m
+members costs about m alignments; only the short lists that are left after some rounds try all pairs. Equal word sequences are one node; copies are spelled out in the result only.
 
 Long documents are cut into segments of ``SEGMENT`` shingles that overlap by one passage, for the windows only.
 
@@ -39,6 +39,7 @@ from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
 BANDS, SEGMENT = 4, 4096
+TURNS, SMALL = 2, 12  # after so many rounds, lists of so few rows try all their pairs at once
 SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(3 * BANDS)]
 
 
@@ -200,20 +201,28 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     lists = cut(lists, "lists")
     open_ = cut(lookup(keep_wanted(spread, lists, "key"), lists, ["key"], "inner").distinct(), "open")
 
-    found, tried = None, None
+    found, tried, turn = None, None, 0
     while True:
-        leads = open_.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high")).filter("lead < high").select("key", "lead")
-        paired = open_.join(leads, "key").filter("node != lead")
-        pairs = paired.select("node", "lead").distinct()
+        leads = open_.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high"), F.count("*").alias("size")).filter("lead < high")
+        leads = cut(leads.select("key", "lead", (F.lit(turn >= TURNS) & (F.col("size") <= SMALL)).alias("all")), "leads")
+        led = open_.join(leads, "key")
+        paired = led.filter("node != lead and not all")
+        pairs = paired.select("node", "lead")
+        if turn >= TURNS:
+            each = led.filter("all").select("key", "node").distinct()
+            pairs = pairs.unionByName(each.join(each.withColumnRenamed("node", "lead"), "key").filter("lead < node").select("node", "lead"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["node", "lead"], "left_anti")
         pairs = cut(pairs, "pairs")
         spans = _aligned(pairs, base, members, min_words, similarity, gap)
         found = spans if found is None else found.unionByName(spans)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        # A key is settled for the nodes that align with its lead; the lead itself has met all others.
-        settled = found.select("node", "lead").distinct()
-        left = cut(paired.join(settled, ["node", "lead"], "left_anti").select("key", "node", "start", "end"), "open")
+        # A key is settled for the nodes that align with its lead where the key's shingles are; the lead itself has met all others.
+        settled = found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
+        there = (F.col("p.node") == F.col("s.node")) & (F.col("p.lead") == F.col("s.lead")) & (F.col("from") <= F.col("start")) & (F.col("end") + SHINGLE <= F.col("to"))
+        left = cut(paired.alias("p").join(settled.alias("s"), there, "left_anti").select("key", "node", "start", "end"), "open")
+        turn += 1
         more = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
         if more.isEmpty():
             break
