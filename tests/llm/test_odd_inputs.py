@@ -68,6 +68,14 @@ def test_near_copies_in_a_chain_and_a_crowd(spark):
     assert got == dict(enumerate(names))
 
 
+def test_members_of_a_group_that_link_only_past_its_head(spark):
+    notice = [f"t{i}" for i in range(40)]
+    forms = [notice, [*notice[:15], "x", *notice[16:]], [*notice[:30], "y", *notice[31:]]]
+    rows = [(3 * g + f, " ".join([*(f"g{g}o{i}" for i in range(30)), *forms[f]]), "en", "a", 1) for g in range(10) for f in range(3)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(odd(spark, rows, False), k=5, num=80, den=100).collect()}
+    assert got == {i: i // 3 * 3 for i in range(30)}
+
+
 def test_decontamination(spark):
     rows = odd_rows()
     passage = spaced(rows[12][1])[45:57]

@@ -8,7 +8,7 @@ exact; a good one keeps posting lists short, so the sketch only has to tell the
 2. Group pairs: the groups of a prefix shingle's posting list are paired with the list's lead, filtered by size and
    by prefix positions of the shared shingle, and their representatives verified on whole texts; members of a group likewise with its
    first. Components of these links settle most lists at once, however long: no list is paired with itself.
-3. Expansion: in lists that still hold several components, members of different components are paired, filtered and
+3. Expansion: in lists and groups that still hold several components, members of different components are paired, filtered and
    verified. Every pair that shares a prefix shingle is thus either verified or already in one component, so the
    components are exactly those of all links.
 
@@ -220,7 +220,9 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # Expansion: members of different components in one list, each list's largest component on one side only.
     roots = components(links)
     homes = cut(members.select("node", "grp", "n").join(roots, "node", "left").select("node", "grp", "n", F.coalesce("root", "node").alias("root")), "homes")
-    spots = cut(shared.select("token", "grp", "i").join(homes, "grp").select("token", "node", "n", "i", "root", F.xxhash64("root").alias("r")), "spots")
+    # A group of several nodes is a list of its own: other groups need not have any of its shingles.
+    own = heads.filter("size > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("i"))
+    spots = cut(shared.select("token", "grp", "i").unionByName(own).join(homes, "grp").select("token", "node", "n", "i", "root", F.xxhash64("root").alias("r")), "spots")
     mixed = spots.groupBy("token", "r").agg(F.count("*").alias("size")).groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("size", "r"))["r"].alias("major")).filter("roots > 1")
     spots = cut(lookup(spots, cut(mixed.select("token", "major"), "mixed"), ["token"], "inner"), "spots")
     left = spots.filter("r != major").select("token", "major", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("r").alias("ra"))
