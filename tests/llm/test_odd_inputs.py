@@ -115,6 +115,16 @@ def test_flight_keeps_totals():
     assert set(mixing.flight(p, z, rng, True).tolist()) <= {0.0, 1.0}
 
 
+def test_mix_ends_with_more_sources_than_a_block_has_rows(spark):
+    rows = [(i, "w " * (1 + i * 7 % 53), "en", f"s{i % 12}", 1) for i in range(300)]
+    got = mixing.mix(odd(spark, rows, False), block_rows=8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    for target in {r.target for r in got}:
+        part = [r for r in got if r.target == target]
+        sources = len({r.doc_id % 12 for r in part})
+        assert abs(sum(r.copies * r.size for r in part) - target * sources) <= 53 * sources
+
+
 def test_passages(spark):
     got = passages.shared_passages(odd(spark)).collect()
     pairs = {(r.doc_id, r.keeper_id) for r in got if not r.is_keeper}

@@ -5,8 +5,8 @@ Every source gets a target in words (weights 1, 2, 3, ... repeating over the sou
 outright; the fraction that is left is its inclusion probability. The flight phase of the cube method moves these
 probabilities along the null space of two constraints (document total, word total): any three undecided documents
 span one such direction, and a random step along it decides at least one of them while both totals stay exact. It
-runs in hash blocks of a source, then again over what the blocks left (at most two documents each), and ends with a
-landing problem of at most twelve documents for each source (the two and the ten smallest, which the last flight
+runs in hash blocks of a source, then again over what the blocks left (at most two documents each), until what a source
+has left fits one block; that one ends with a landing problem of at most twelve documents for each source (the two and the ten smallest, which the last flight
 holds back), rounded to the nearest word total.
 
 Edge cases: a null source is a source of its own, ordered last; null or blank texts have size 0 and are taken 0
@@ -51,7 +51,7 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool =
 
     ``land`` holds the smallest documents back and rounds them with those two to the nearest total of ``z``.
     """
-    p, z = p.tolist(), z.tolist()
+    p, z = [x if EPS < x < 1 - EPS else float(round(x)) for x in p.tolist()], z.tolist()
     todo = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
     held: list[int] = []
     if land:
@@ -93,20 +93,21 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, land: bool =
     return np.asarray(p)
 
 
-def _level(rows: DataFrame, blocks: int, seed: int, level: int, land: bool) -> DataFrame:
-    """One round of flights, a task for each block of each source."""
+def _level(rows: DataFrame, block_rows: int, seed: int, level: int) -> DataFrame:
+    """One round of flights, a task for each block of each source; a source of one block lands."""
     columns = rows.columns
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("draw", "ascending"), ("size", "ascending")])
         draw = table.column("draw").to_numpy()
         rng = np.random.default_rng([seed, level, len(draw), int(draw[0]) & 0xFFFFFFFF])
-        p = flight(table.column("p").to_numpy(), table.column("size").to_numpy().astype(float), rng, land)
-        return table.drop_columns(["block"]).set_column(table.column_names.index("p"), "p", pa.array(p)).select(columns)
+        p = flight(table.column("p").to_numpy(), table.column("size").to_numpy().astype(float), rng, table.column("blocks")[0].as_py() == 1)
+        return table.set_column(table.column_names.index("p"), "p", pa.array(p)).select(columns)
 
+    blocks = cut(rows.groupBy("stratum").agg(F.ceil(F.count("*") / block_rows).alias("blocks")), f"mix-blocks{level}")
     # Other bits of the draw at every level, so that what one block leaves is spread.
-    block = F.pmod(F.xxhash64("draw", F.lit(level)), F.lit(blocks)).alias("block")
-    return rows.select("*", block).groupBy("stratum", "block").applyInArrow(run, rows.schema)
+    block = F.pmod(F.xxhash64("draw", F.lit(level)), F.col("blocks")).alias("block")
+    return lookup(rows, blocks, ["stratum"], "inner").select(*columns, "blocks", block).groupBy("stratum", "block").applyInArrow(run, rows.schema)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 11, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -127,13 +128,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     rows = rows.select("doc_id", "stratum", "draw", "size", "source_size", "target", "whole", "p")
 
     done, level = [], 0
-    left = sized.count()
-    while left:
-        blocks = max(1, -(-left // block_rows))
-        flown = cut(_level(rows, blocks, seed, level, blocks == 1), f"mix-level{level}")
+    while not rows.isEmpty():
+        flown = cut(_level(rows, block_rows, seed, level), f"mix-level{level}")
         done.append(flown.filter("p <= 0 or p >= 1"))
         rows = flown.filter("p > 0 and p < 1")
-        left = rows.count() if blocks > 1 else 0
         level += 1
     if not done:
         return rows.select("doc_id", "draw", "size", "source_size", "target", F.col("whole").alias("copies"))
