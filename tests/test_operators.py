@@ -153,3 +153,15 @@ def test_cube_counts_equal_filters(spark):
             got = {x.t: x.n for x in reduce.with_candidates(turns, cube, names, list(used), "n").collect()}
             for t in turns.collect():
                 assert got[t.t] == sum(all(t[f] is None or t[f] == row[names.index(f)] for f in used) for row in data)
+
+
+def test_every_record_is_ranked(spark):
+    from tracewarden.plans import texts
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.item_id, r.doc_id, r.score, r["rank"]) for r in texts.kb_rank_catalog(spark, sf).collect()}
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.lower("text").alias("q"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("([a-z]{9,})"), F.lit(1)))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", F.lower("text").alias("body"), terms.alias("terms"))
+    want = {(r.item_id, r.doc_id, r.score, r["rank"]) for r in kb.rank(items.crossJoin(docs), "item_id", "doc_id", "q", "source", "terms", "body").filter(F.col("rank") <= kb.CATALOG).collect()}
+    assert got == want and len(want) == kb.CATALOG * items.count()

@@ -250,11 +250,7 @@ def kb_rank_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("q"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.substring_index("text", "\n", 1)), F.lit("([a-z]{9,})"), F.lit(1)))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower("text").alias("body"), words.alias("terms"))
-    # Records meet queries on a shared long word: one without it has no term in the query.
-    near = items.select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit("([a-z]{9,})"), F.lit(1)))).alias("word"))
-    pairs = near.join(docs.select("doc_id", F.explode("terms").alias("word")), "word").select("item_id", "doc_id").distinct()
-    rows = pairs.join(items, "item_id").join(docs, "doc_id")
-    return kb.rank(rows, "item_id", "doc_id", "q", "source", "terms", "body").filter(F.col("rank") <= kb.CATALOG)
+    return kb.rank_all(items, docs, "item_id", "doc_id", "q", "source", "terms", "body")
 
 
 def unit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
