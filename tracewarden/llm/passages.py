@@ -39,7 +39,7 @@ from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
 BANDS, SEGMENT = 4, 4096
-TURNS, SMALL = 2, 12  # after so many rounds, lists of so few rows try all their pairs at once
+TURNS, SMALL = 2, 12  # after so many rounds, lists of so few rows try all their pairs at once; twice as many after each further round
 SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(3 * BANDS)]
 
 
@@ -65,8 +65,9 @@ def band_windows(grams: np.ndarray, t: int) -> np.ndarray:
     far, wide = t // 2, t // 6 + 1
     for base in range(0, max(1, len(grams) - t + 1), SEGMENT - t + 1):
         part = grams[base : base + SEGMENT]
+        hashes = mix(part ^ np.array(SEEDS)[:, None])
         for band in range(BANDS):
-            h1, h2, h3 = (mix(part ^ seed) for seed in SEEDS[3 * band : 3 * band + 3])
+            h1, h2, h3 = hashes[3 * band : 3 * band + 3]
             a, b = compact_windows(h1, t), compact_windows(h2, t)
             if not len(a) or not len(b):
                 continue
@@ -85,7 +86,7 @@ def band_windows(grams: np.ndarray, t: int) -> np.ndarray:
                 both = mix(keys[ok] ^ h3[third] * U64(0xC2B2AE3D27D4EB4F) ^ U64(side > 0))
                 places = np.stack([first[ok], second[ok], third]) + base
                 rows.append(np.stack([both.view(np.int64), places.min(0), places.max(0)], 1))
-    return np.unique(np.concatenate(rows), axis=0)
+    return np.concatenate(rows)
 
 
 def node_hash(words: np.ndarray) -> int | None:
@@ -204,7 +205,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     found, tried, turn = None, None, 0
     while True:
         leads = open_.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high"), F.count("*").alias("size")).filter("lead < high")
-        leads = cut(leads.select("key", "lead", (F.lit(turn >= TURNS) & (F.col("size") <= SMALL)).alias("all")), "leads")
+        leads = cut(leads.select("key", "lead", (F.lit(turn >= TURNS) & (F.col("size") <= SMALL << max(0, turn - TURNS))).alias("all")), "leads")
         led = open_.join(leads, "key")
         paired = led.filter("node != lead and not all")
         pairs = paired.select("node", "lead")
