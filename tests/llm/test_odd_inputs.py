@@ -132,20 +132,76 @@ def test_passages(spark):
     assert (2, 1) in pairs and not {r.doc_id for r in got} & {4, 5, 6, 7, 8, 12, 13, *range(100, 130)}
 
 
-def test_passages_with_one_edit_share_a_key():
+def keys_of(words):
     import numpy as np
 
     from tracewarden.llm.textnp import ngrams
 
+    grams = ngrams(np.asarray(words).astype(np.uint64), 5)
+    return {int(row[0]) for row in passages.window_keys(grams, np.array([0]), np.array([len(grams)]), 46)}
+
+
+def test_passages_with_one_edit_share_a_key():
+    """Recall at the least length: 50 words with one edit have a similarity of 0.80 to 0.82."""
+    import numpy as np
+
     rng = np.random.default_rng(3)
     words = lambda n: rng.integers(0, 1 << 60, n)
     for edit in (lambda w, i: np.r_[w[:i], words(1), w[i + 1 :]], lambda w, i: np.insert(w, i, words(1)), lambda w, i: np.delete(w, i)):
         met = 0
-        for _ in range(60):
+        for _ in range(200):
             w = words(51)
-            keys = [{int(row[0]) for row in passages.band_windows(ngrams(np.r_[words(60), v, words(60)].astype(np.uint64), 5), 46)} for v in (w, edit(w, int(rng.integers(5, 45))))]
-            met += bool(keys[0] & keys[1])
-        assert met >= 51
+            met += bool(keys_of(np.r_[words(60), w, words(60)]) & keys_of(np.r_[words(90), edit(w, int(rng.integers(1, 50))), words(40)]))
+        assert met >= 188
+
+
+def test_equal_passages_always_share_keys_and_short_ones_hardly():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    words = lambda n: rng.integers(0, 1 << 60, n)
+    lines = 0
+    for _ in range(60):
+        w, line = words(50), words(12)
+        assert keys_of(np.r_[words(70), w, words(5)]) & keys_of(np.r_[words(3), w, words(90)])
+        lines += bool(keys_of(np.r_[words(60), line, words(60)]) & keys_of(np.r_[words(50), line, words(70)]))
+    assert lines <= 6
+
+
+def test_windows_are_those_of_the_cartesian_tree():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, t in ((300, 46), (46, 46), (45, 46), (200, 7)):
+        h = rng.integers(0, 2**63, n).astype(np.uint64)
+        starts = np.arange(max(0, n - t + 1))
+        got = {int(c): (int(lo), int(hi)) for c, lo, hi in zip(*passages.anchored(h, starts, t))}
+        want = {int(c): (max(int(lo), int(c) - t + 1), min(int(hi), int(c) + t - 1)) for lo, c, hi in passages.compact_windows(h >> np.uint64(24), t)}
+        assert got == want
+    many = np.array([5] * 500, np.uint64)  # a text of one word: the first of equal minima counts, and neighbours are one row
+    assert len(passages.window_keys(many, np.array([0]), np.array([500]), 46)) == passages.HASHES
+
+
+def test_passages_against_brute_force(spark):
+    """Spans, keepers and similarity of planted passages, and no row where nothing is shared."""
+    import random
+
+    rng = random.Random(12)
+    own = lambda k, n: [f"d{k}x{rng.randrange(10**9)}" for _ in range(n)]
+    exact, near, line = own("p", 60), own("q", 80), own("l", 20)
+    changed = [*near[:40], "other", *near[41:]]
+    texts = {1: [*own(1, 30), *exact, *own(1, 10)], 2: [*exact, *own(2, 40)], 3: [*own(3, 55), *near], 4: [*own(4, 5), *changed, *own(4, 70)], 5: [*own(5, 60), *line, *own(5, 60)], 6: [*line, *own(6, 90)], 7: own(7, 300), 8: exact[:49] + own(8, 60)}
+    got = [r for r in passages.shared_passages(odd(spark, [(i, " ".join(w), "en", "a", 1) for i, w in texts.items()], False)).collect()]
+    spans = {}
+    for r in got:
+        if not r.is_keeper:
+            spans[frozenset((r.doc_id, r.keeper_id))] = {r.doc_id: (r.start_word, r.end_word), r.keeper_id: (r.keeper_start, r.keeper_end), "score": r.similarity}
+    assert set(spans) == {frozenset((1, 2)), frozenset((3, 4))}
+    assert spans[frozenset((1, 2))] == {1: (30, 90), 2: (0, 60), "score": 1.0}
+    both = {i: (r := spans[frozenset((3, 4))])[i] for i in (3, 4)}
+    assert both == {3: (55, 135), 4: (5, 85)} and abs(r["score"] - 71 / 81) < 1e-9
+    keepers = {r.doc_id for r in got if r.is_keeper}
+    assert keepers == {r.keeper_id for r in got} and len(keepers) == 2
 
 
 def test_passages_whose_parts_the_lead_repeats():

@@ -64,7 +64,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``cut`` made and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_batches(f):

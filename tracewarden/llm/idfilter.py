@@ -16,9 +16,12 @@ CHUNKS = 64
 LEAST_BITS, MOST_BITS = 20, 28
 
 
-def _cells(column: pa.Array, bits: int) -> np.ndarray:
-    keys = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
-    return (mix(keys) >> U64(64 - bits)).astype(np.int64)
+def _cells(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(U64)) >> U64(64 - bits)).astype(np.int64)
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def keep_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -28,11 +31,25 @@ def keep_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def split_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The rows whose ``key`` (long; null counts as 0) may occur in ``wanted``, and those whose key surely doesn't."""
+    test = wanted_cells(wanted, key)
+
+    def side(hit):
+        def keep(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(test(_keys(batch.column(key))) == hit))
+
+        return rows.mapInArrow(keep, rows.schema)
+
+    return side(True), side(False)
+
+
+def wanted_cells(wanted: DataFrame, key: str):
+    """A test for use in tasks: of an array of keys, those that may occur in ``wanted`` (by a broadcast bitmap)."""
     bits = min(MOST_BITS, max(LEAST_BITS, int(64 * wanted.count()).bit_length()))
     per = (1 << bits) // CHUNKS
 
     def mark(batches):
-        cells = np.unique(np.concatenate([np.zeros(0, np.int64), *(_cells(batch.column("k"), bits) for batch in batches)]))
+        cells = np.unique(np.concatenate([np.zeros(0, np.int64), *(_cells(_keys(batch.column("k")), bits) for batch in batches)]))
         ends = np.searchsorted(cells, np.arange(CHUNKS + 1) * per)
         for chunk, (lo, hi) in enumerate(zip(ends.tolist(), ends.tolist()[1:])):
             if lo < hi:
@@ -54,18 +71,13 @@ def split_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFram
     bitmap = np.zeros((CHUNKS, per // 8), np.uint8)
     for chunk, packed in found:  # at most CHUNKS rows, at most 32 MB together
         bitmap[chunk] = np.frombuffer(bytes(packed), np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+    held = wanted.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
-    def side(hit):
-        def keep(batches):
-            for batch in batches:
-                cells = _cells(batch.column(key), bits)
-                found = (held.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
-                yield batch.filter(pa.array(found == hit))
-
-        return rows.mapInArrow(keep, rows.schema)
+    def test(keys: np.ndarray) -> np.ndarray:
+        cells = _cells(keys, bits)
+        return (held.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
 
-    return side(True), side(False)
+    return test
 
 
 def _row(chunk: int, packed: np.ndarray) -> pa.RecordBatch:

@@ -2,14 +2,13 @@
 
 Each document is a sequence of 5-word shingles. For a hash function, the Cartesian tree over the shingle hashes groups
 all subsequences with the same minimum into compact windows: [l, c, r] stands for every subsequence from l..c to c..r.
-Two hash functions make a band; intersecting their windows gives the subsequences that share both minima. A row
-(key, node, interval) is emitted for each such window that holds a subsequence of ``min_words`` words, so every passage
-of that length has a window in every band. The key also holds the least, by a third function, of the shingles about
-half a passage before the first minimum, and in a second row of those after it: a passage holds one of the two sides,
-so equal passages have a key in common in every band, while texts that share no more than a common line have none. The
-interval goes from the first to the last of the key's three shingles. ``BANDS`` bands are tried, and one is enough: a
-passage of just ``min_words`` words with one word changed, added or left out is a candidate with probability of about
-0.96 (0.7 for each band).
+Of a window that holds a subsequence of ``min_words`` words, the interval of its subsequences of just that length is
+kept (found by sliding minima, which give the same windows as the tree). A row (key, node, interval) joins three
+signatures that lie in one interval: the window's own minimum, and the minima of ``BESIDE`` further hash functions over
+the half passage that ends at it or begins at it, where that half lies inside the interval: a passage always holds one of
+the two halves. ``HASHES`` functions anchor keys and one shared key is enough. Equal passages share keys under every
+function; a passage of just ``min_words`` words with one word changed, added or left out shares one with probability of
+about 0.98 (measured in tests/llm); longer ones meet more keys.
 
 Documents that share a key are candidates. Each is aligned with the list's lead: runs of shared shingles (gaps of up
 to ``gap`` words) are kept when they cover ``min_words`` words in both documents and their shingle sets have a Jaccard
@@ -18,7 +17,7 @@ its own diagonal, and equal passages are looked up whole, as the lead may hold t
 with the lead over the key's own interval go on to the next round under a new lead, until none is left, so a list of m
 members costs about m alignments; only the short lists that are left after some rounds try all pairs. Equal word sequences are one node; copies are spelled out in the result only.
 
-Long documents are cut into segments of ``SEGMENT`` shingles that overlap by one passage, for the windows only.
+A first pass over the corpus finds the keys that two texts have (packed arrays, merged by key); a second one emits the rows of those alone.
 
 Edge cases: null, empty and short texts have no passages; a document's own repetitions are not reported; repeated rows
 are copies; null ids count as the largest; an empty table gives no rows. Hashes have 64 bits.
@@ -26,25 +25,28 @@ are copies; null ids count as the largest; an empty table gives no rows. Hashes
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, lookup, pick, small_batches
-from .idfilter import keep_wanted
+from .common import cut, lookup, pick, release, small_batches
+from .idfilter import wanted_cells
 from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
-BANDS, SEGMENT = 4, 4096
+HASHES, BESIDE = 4, 2  # hash functions that anchor keys; further minima in a key, from one half of the anchor's interval
 TURNS, SMALL = 2, 12  # after so many rounds, lists of so few rows try all their pairs at once; twice as many after each further round
-SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(3 * BANDS)]
+FLUSH_ROWS, PART_ROWS = 1 << 20, 1 << 21  # window rows that a task holds before it deals them out, and that a merging task gets
+SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(HASHES)]
+PLACE_BITS = 24  # of a hash, when minima are taken with their places; more for a single text of more words
 
 
 def compact_windows(h: np.ndarray, t: int) -> np.ndarray:
-    """Rows (l, c, r) of the Cartesian tree of ``h`` that hold a subsequence of at least t."""
+    """Rows (l, c, r) of the Cartesian tree of ``h`` that hold a subsequence of at least t: the definition, for tests."""
     out, todo = [], [(0, len(h))]
     while todo:
         lo, hi = todo.pop()
@@ -56,45 +58,70 @@ def compact_windows(h: np.ndarray, t: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def band_windows(grams: np.ndarray, t: int) -> np.ndarray:
-    """Rows (key, start, end) of subsequences of at least t shingles that share the minima of a band.
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of ``width`` values, from running minima of blocks in both directions."""
+    n = len(values)
+    if n < width:
+        return values[:0]
+    blocks = np.concatenate([values, np.full(-n % width, ~U64(0), U64)]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, 1).reshape(-1)
+    back = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
+    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
-    start and end are the first and the last of the three shingles that the key stands for.
+
+def anchored(values: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, first, last) of the compact windows met by the runs of t values that begin at ``starts``.
+
+    c is the window's minimum; first and last bound the runs of t that hold it as theirs (last: inclusive end).
     """
-    rows = [np.zeros((0, 3), np.int64)]
-    far, wide = t // 2, t // 6 + 1
-    for base in range(0, max(1, len(grams) - t + 1), SEGMENT - t + 1):
-        part = grams[base : base + SEGMENT]
-        hashes = mix(part ^ np.array(SEEDS)[:, None])
-        for band in range(BANDS):
-            h1, h2, h3 = hashes[3 * band : 3 * band + 3]
-            a, b = compact_windows(h1, t), compact_windows(h2, t)
-            if not len(a) or not len(b):
-                continue
-            low, high = np.maximum(a[:, None, 0], b[None, :, 0]), np.minimum(a[:, None, 2], b[None, :, 2])
-            ok = (low <= np.minimum(a[:, None, 1], b[None, :, 1])) & (np.maximum(a[:, None, 1], b[None, :, 1]) <= high) & (high - low + 1 >= t)
-            i, j = np.nonzero(ok)
-            first, second, low, high = a[i, 1], b[j, 1], low[i, j], high[i, j]
-            keys = mix(h1[first] * U64(0x9DDFEA08EB382D69) + h2[second] + U64(band))
-            around = np.lib.stride_tricks.sliding_window_view(h3, wide)
-            # Of the shingles up to half a passage to either side of the first minimum, a shared passage holds one side at least.
-            for side in (-1, 1):
-                edge = first + side * far
-                ok = (edge >= low) & (edge <= high)
-                left = np.minimum(edge, edge - side * (wide - 1))[ok]
-                third = left + around[left].argmin(1)
-                both = mix(keys[ok] ^ h3[third] * U64(0xC2B2AE3D27D4EB4F) ^ U64(side > 0))
-                places = np.stack([first[ok], second[ok], third]) + base
-                rows.append(np.stack([both.view(np.int64), places.min(0), places.max(0)], 1))
+    bits = max(PLACE_BITS, len(values).bit_length())
+    low = (U64(1) << U64(bits)) - U64(1)
+    c = (sliding_min(values & ~low | np.arange(len(values), dtype=U64), t) & low).astype(np.int64)[starts]
+    if not len(c):
+        return c, c, c
+    new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (np.diff(starts) != 1)])
+    return c[new], starts[new], starts[np.r_[new[1:], len(c)] - 1] + t - 1
+
+
+def window_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, t: int) -> np.ndarray:
+    """Rows (key, document, start, end) for the shingles ``begin:end`` of each document; start and end count from its begin."""
+    long = np.flatnonzero(end - begin >= t)
+    edge = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(edge, begin[long], 1)
+    np.add.at(edge, end[long] - t + 1, -1)
+    starts = np.flatnonzero(np.cumsum(edge)[:-1])
+    if not len(starts):
+        return np.zeros((0, 4), np.int64)
+    half, rows = t // 2, []
+    hashes = [mix(grams ^ seed) for seed in SEEDS]
+    near = [sliding_min(h, half) for h in hashes]
+    for f, h in enumerate(hashes):
+        c, first, last = anchored(h, starts, t)
+        for side, at in enumerate((c - half + 1, c)):
+            ok = (at >= first) & (at + half - 1 <= last)
+            place = at[ok]
+            key = h[c[ok]] * U64(0x9DDFEA08EB382D69) + U64(2 * f + side)
+            for k in range(1, BESIDE + 1):
+                key = mix(key ^ near[(f + k) % HASHES][place] * U64(0xC2B2AE3D27D4EB4F + 2 * k))
+            # A text of one word has the same key at every place: one row stands for neighbours with one key.
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (np.diff(place) != 1)][: len(key)]
+            key, place = key[fresh], place[fresh]
+            doc = long[np.searchsorted(begin[long], place, "right") - 1]
+            rows.append(np.stack([key.view(np.int64), doc, place - begin[doc], place - begin[doc] + half - 1], 1))
     return np.concatenate(rows)
 
 
 def node_hash(words: np.ndarray) -> int | None:
     """64-bit hash of a word sequence."""
-    if not len(words):
-        return None
-    places = mix(words + np.arange(1, len(words) + 1, dtype=np.uint64) * U64(0xC2B2AE3D27D4EB4F))
-    return int(mix(np.array([places.sum(dtype=np.uint64) + U64(len(words))], U64)).view(np.int64)[0])
+    return int(_nodes(words, np.array([0, len(words)]))[0]) if len(words) else None
+
+
+def _nodes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the word sequences between the bounds (without meaning where there are none)."""
+    sizes = np.diff(bounds)
+    turn = np.arange(len(words)) - np.repeat(bounds[:-1], sizes) + 1
+    total = np.r_[U64(0), np.cumsum(mix(words + turn.astype(U64) * U64(0xC2B2AE3D27D4EB4F)), dtype=U64)]
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(U64)).view(np.int64)
 
 
 def _documents(column: pa.Array):
@@ -105,6 +132,59 @@ def _documents(column: pa.Array):
             yield piece.words[lo:hi], grams[lo : max(lo, hi - SHINGLE + 1)]
 
 
+def _keyed(column: pa.Array, t: int):
+    """(rows of ``window_keys``, nodes of the documents, first document) for every piece of a text column."""
+    for piece in pieces(column, "space"):
+        begin, end = piece.bounds[:-1], np.maximum(piece.bounds[:-1], piece.bounds[1:] - SHINGLE + 1)
+        yield window_keys(ngrams(piece.words, SHINGLE), begin, end, t), _nodes(piece.words, piece.bounds), piece.first
+
+
+def shared_keys(base: DataFrame, t: int, words: int) -> DataFrame:
+    """(key) of the window keys that two different texts have.
+
+    Tasks deal out packed arrays of (key, node) by the key's top bits, once for each key and task, so a hot key sends
+    a row for each task; the merging tasks sort them. Their number grows with the words of the corpus.
+    """
+    parts = max(32, words * HASHES // (16 * PART_ROWS))
+    bits = (4 * parts - 1).bit_length()
+
+    def deal(batches):
+        held, n = [], 0
+
+        def flush():
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0].view(U64)))]
+            new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            last = np.r_[new[1:], len(rows)] - 1
+            rows = rows[np.union1d(new, last[rows[last, 1] != rows[new, 1]])]
+            part = (rows[:, 0].view(U64) >> U64(64 - bits)).astype(np.int64)
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+            packed = [rows[lo:hi].tobytes() for lo, hi in zip(cuts.tolist(), cuts[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int64()), pa.array(packed, pa.binary())], names=["part", "packed"])
+
+        for batch in batches:
+            for rows, nodes, _ in _keyed(batch.column("text"), t):
+                if len(rows):
+                    held.append(np.stack([rows[:, 0], nodes[rows[:, 1]]], 1))
+                    n += len(rows)
+                if n > FLUSH_ROWS:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def merge(batches):
+        packed = [np.frombuffer(x, np.int64).reshape(-1, 2) for batch in batches for x in batch.column("packed").to_pylist()]
+        if packed:
+            rows = np.concatenate(packed)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            last = np.r_[new[1:], len(rows)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(rows[new[rows[new, 1] != rows[last, 1]], 0])], names=["key"])
+
+    return base.select("text").mapInArrow(deal, "part long, packed binary").repartition(parts, "part").mapInArrow(merge, "key long")
+
+
 def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap: int) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start, end, similarity) in words, ends exclusive, that shingle sequences x and y share."""
     order = np.argsort(y, kind="stable")
@@ -115,25 +195,46 @@ def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap:
         return []
     places, spots, froms, tos = order.tolist(), at.tolist(), lo[at].tolist(), hi[at].tolist()
 
-    def chain(k: int, j: int, way: int) -> list[tuple[int, int]]:
-        """Matches that follow match k at place j in one direction: of a shingle's places in y the one nearest to where they lead."""
-        run, i = [], spots[k]
-        while 0 <= (k := k + way) < len(spots):
+    def exact(i: int, j: int, way: int) -> int:
+        """How many shingles from places i and j on are equal in one direction."""
+        n, most = 0, min(len(x) - i, len(y) - j) if way > 0 else min(i, j) + 1
+        step = 32
+        while n < most:
+            size = min(step, most - n)
+            p, q = (x[i + n : i + n + size], y[j + n : j + n + size]) if way > 0 else (x[i - n - size + 1 : i - n + 1][::-1], y[j - n - size + 1 : j - n + 1][::-1])
+            off = p != q
+            if off.any():
+                return n + int(off.argmax())
+            n, step = n + size, 4 * step
+        return n
+
+    def chain(i: int, j: int, way: int) -> list[tuple[int, int]]:
+        """Ends of the equal stretches that follow place i at place j in one direction: of a shingle's places in y the one nearest to where they lead."""
+        run = []
+        while True:
+            n = way * (exact(i, j, way) - 1)
+            i, j = i + n, j + n
+            run.append((i, j))
+            k = bisect_right(spots, i) if way > 0 else bisect_left(spots, i) - 1
+            if not 0 <= k < len(spots):
+                return run
             i2, aim = spots[k], j + spots[k] - i
+            if abs(i2 - i) > gap:
+                return run
             n = bisect_left(places, aim, froms[k], tos[k])
             j2 = min(places[max(n - 1, froms[k]) : min(n + 1, tos[k])], key=lambda v: abs(v - aim))
-            if abs(i2 - i) > gap or abs(j2 - aim) > gap or (j2 - j) * way <= 0:
-                break
+            if abs(j2 - aim) > gap or (j2 - j) * way <= 0:
+                return run
             run.append((i2, j2))
             i, j = i2, j2
-        return run
 
     runs, k = [], 0
     while k < len(spots):
         # A run that starts elsewhere in y may have its own beginning where the last run was.
-        ahead, back = chain(k, places[froms[k]], 1), chain(k, places[froms[k]], -1)
-        runs.append([*back[::-1], (spots[k], places[froms[k]]), *ahead])
-        k += 1 + len(ahead)
+        i, j = spots[k], places[froms[k]]
+        ahead, back = chain(i, j, 1), chain(i, j, -1)
+        runs.append([*back[::-1], (i, j), *ahead])
+        k = bisect_right(spots, ahead[-1][0])
     out, todo = [], runs
     while todo:
         run = todo.pop()
@@ -184,23 +285,27 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     base = pick(docs, doc_id=id_col, text=text_col)
     t = min_words - SHINGLE + 1
 
-    def windows(batches):
+    def own(batches):
         for batch in batches:
-            nodes, sizes, ends, rows = [], [], [0], [np.zeros((0, 3), np.int64)]
-            for words, grams in _documents(batch.column("text")):
-                nodes.append(node_hash(words))
-                sizes.append(len(words))
-                rows.append(band_windows(grams, t) if len(grams) >= t else rows[0])
-                ends.append(ends[-1] + len(rows[-1]))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(c))) for c in np.concatenate(rows).T]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *lists], names=["doc_id", "node", "n", "keys", "starts", "ends"])
-
-    seen = cut(base.mapInArrow(windows, "doc_id long, node long, n long, keys array<long>, starts array<long>, ends array<long>").filter(F.col("n") >= min_words), "windows")
+            found = [(_nodes(piece.words, piece.bounds), np.diff(piece.bounds)) for piece in pieces(batch.column("text"), "space")]
+            nodes, sizes = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(sizes)], names=["doc_id", "node", "n"]).filter(pa.array(sizes >= min_words))
+
+    seen = cut(base.mapInArrow(own, T.StructType([base.schema["doc_id"], *T._parse_datatype_string("node long, n long").fields])), "nodes")
     members = cut(seen.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "nodes")
-    spread = seen.select("node", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("w")).select(F.col("w.keys").alias("key"), "node", F.col("w.starts").alias("start"), F.col("w.ends").alias("end"))
-    lists = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    lists = cut(lists, "lists")
-    open_ = cut(lookup(keep_wanted(spread, lists, "key"), lists, ["key"], "inner").distinct(), "open")
+    lists = cut(shared_keys(base, t, seen.agg(F.sum("n")).first()[0] or 0), "lists")
+    wanted = wanted_cells(lists, "key")
+
+    def spread(batches):
+        for batch in batches:
+            for rows, nodes, _ in _keyed(batch.column("text"), t):
+                rows = rows[wanted(rows[:, 0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.ascontiguousarray(rows[:, 0]), nodes[rows[:, 1]], np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3]))], names=["key", "node", "start", "end"])
+
+    rows = base.select("text").mapInArrow(spread, "key long, node long, start long, end long")
+    open_ = cut(lookup(rows, lists, ["key"], "inner").distinct(), "open")
+    release(lists)
+    texts = _texts(base, open_.select("node").distinct(), members)
 
     found, tried, turn = None, None, 0
     while True:
@@ -216,18 +321,20 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
         if tried is not None:
             pairs = pairs.join(tried, ["node", "lead"], "left_anti")
         pairs = cut(pairs, "pairs")
-        spans = _aligned(pairs, base, members, min_words, similarity, gap)
+        spans = _aligned(pairs, texts, min_words, similarity, gap)
         found = spans if found is None else found.unionByName(spans)
         tried = pairs if tried is None else tried.unionByName(pairs)
         # A key is settled for the nodes that align with its lead where the key's shingles are; the lead itself has met all others.
         settled = found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
-        there = (F.col("p.node") == F.col("s.node")) & (F.col("p.lead") == F.col("s.lead")) & (F.col("from") <= F.col("start")) & (F.col("end") + SHINGLE <= F.col("to"))
+        there = (F.col("p.node") == F.col("s.node")) & (F.col("p.lead") == F.col("s.lead")) & (F.col("from") <= F.col("start")) & (F.col("end") < F.col("to"))
         left = cut(paired.alias("p").join(settled.alias("s"), there, "left_anti").select("key", "node", "start", "end"), "open")
         turn += 1
         more = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
         if more.isEmpty():
             break
+        release(open_, leads)
         open_ = left
+    release(open_, leads, left, texts)
 
     spans = cut(found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", "s.*"), "spans")
     reps = members.select(F.col("node").alias("lead"), F.col("rep").alias("keeper_id"))
@@ -240,19 +347,26 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     return shared.unionByName(own).unionByName(whole)
 
 
-def _aligned(pairs: DataFrame, base: DataFrame, members: DataFrame, min_words: int, similarity: float, gap: int) -> DataFrame:
-    """(node, lead, spans) of the pairs that share a passage."""
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("lead").alias("node"))).distinct()
-    wanted = cut(nodes.join(members, "node").select("node", "rep", F.coalesce("rep", F.lit(0)).cast("long").alias("key")), "wanted")
-    near = keep_wanted(base.withColumn("key", F.coalesce("doc_id", F.lit(0)).cast("long")), wanted, "key")
-    texts = near.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+def _texts(base: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, each from its smallest id; a few more nodes than asked for do no harm."""
+    named = cut(nodes.join(members, "node").select("node", F.coalesce("rep", F.lit(0)).cast("long").alias("key")), "wanted")
+    has_node, has_id = wanted_cells(named, "node"), wanted_cells(named, "key")
 
-    def own(batches):  # ids may repeat: the text must be the node's
+    def run(batches):
         for batch in batches:
-            same = [node_hash(words) == node for (words, _), node in zip(_documents(batch.column("text")), batch.column("node").to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
+            found = np.concatenate([_nodes(piece.words, piece.bounds) for piece in pieces(batch.column("text"), "space")] or [np.zeros(0, np.int64)])
+            hit = pa.array(has_node(found) & has_id(batch.column("key").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("text")], names=["node", "text"]).filter(hit)
+
+    texts = cut(base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text").mapInArrow(run, "node long, text string"), "texts")
+    release(named)
+    if texts.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").isEmpty():
+        return texts
+    return cut(texts.dropDuplicates(["node"]), "texts")  # ids that repeat
 
-    texts = cut(texts.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
+
+def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float, gap: int) -> DataFrame:
+    """(node, lead, spans) of the pairs that share a passage."""
     sides = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("y")), "lead")
 
     def run(batches):
