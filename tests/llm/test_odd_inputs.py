@@ -223,7 +223,7 @@ def test_passages_whose_parts_the_lead_repeats():
 def test_passages_of_a_list_whose_lead_shares_another(spark):
     import random
 
-    from tracewarden.llm.textnp import ngrams, pieces
+    from tracewarden.llm.textnp import pieces
 
     def hashed(text):
         import pyarrow as pa
@@ -238,7 +238,7 @@ def test_passages_of_a_list_whose_lead_shares_another(spark):
         words = [hashed(" ".join(v)) for v in (lead, x, y)]
         nodes = [passages.node_hash(w) for w in words]
         if nodes[0] == min(nodes):
-            keys = [{int(row[0]) for row in passages.band_windows(ngrams(w, 5), 46)} for w in words]
+            keys = [keys_of(w) for w in words]
             if keys[1] & keys[2] and keys[1] & keys[2] <= keys[0]:
                 break
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 # A side of a join is broadcast only below this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 20_000
+# Rows of two hashes, of which a broadcast holds more: some 16 MB.
+BROADCAST_HASHES = 250_000
 
 # Arrow batches of whole texts hold about this much; a batch is in memory several times, in the JVM and in Python.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
@@ -78,23 +81,25 @@ def release(*tables: DataFrame) -> None:
 
 
 def small_batches(f):
-    """Runs ``f(docs, ...)``, which cuts what it computes, with Arrow batches of bounded bytes; then restores the session."""
+    """Runs ``f(docs, ...)`` with Arrow batches of bounded bytes. The bounds stay set in the session, since plans that
+    ``f`` returns run later; bounds that are already smaller stay as they are."""
 
     @functools.wraps(f)
     def run(docs: DataFrame, *args, **kwargs):
         conf = docs.sparkSession.conf
-        before = {key: conf.get(key) for key in BATCH}
-        try:
-            for key, value in BATCH.items():
-                conf.set(key, value)
-            return f(docs, *args, **kwargs)
-        finally:
-            for key, value in before.items():
+        for key, value in BATCH.items():
+            if _number(conf.get(key)) <= 0 or _number(conf.get(key)) > _number(value):
                 conf.set(key, value)
+        return f(docs, *args, **kwargs)
 
     return run
 
 
+def _number(value: str) -> int:
+    digits = re.match(r"-?\d+", value)[0]
+    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(value[len(digits) : len(digits) + 1].lower(), 0)
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join on ``keys``: broadcasts ``small`` only after counting it, else leaves a skew-split shuffle join."""
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -102,6 +107,11 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left")
     return big.join(small, keys, how)
 
 
+def row_hashes(columns: list[str]) -> list[F.Column]:
+    """Two 64-bit hashes (row, row2) of a whole row."""
+    return [F.xxhash64(*columns).alias("row"), F.xxhash64(F.lit(1), *columns).alias("row2")]
+
+
 def text_key(column: str, null_last: bool = False) -> F.Column:
     """A non-null string form of a nullable string column; null differs from every text."""
     mark = "\U0010ffff\U0010ffff" if null_last else ""

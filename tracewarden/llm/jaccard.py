@@ -27,11 +27,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lookup, pick, small_batches, tagged, untagged
+from .common import BROADCAST_HASHES, cut, lookup, pick, row_hashes, small_batches, tagged, untagged
 from .components import components
 from .idfilter import keep_wanted, split_wanted
 from .textnp import U64, shingle_sets
@@ -99,9 +99,13 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, node, grp, prefix, bits): set size, 128-bit hash of the set, group key, prefix shingles in order, parity bitmap."""
+    """(doc_id, n, node, grp, prefix, bits): set size, 128-bit hash of the set, group key, prefix shingles in order, parity bitmap.
+
+    Columns of ``docs`` besides doc_id and text come along.
+    """
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, k))
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, node binary, grp long, prefix array<long>, bits binary").fields])
+    own = [name for name in docs.columns if name != "text"]
+    schema = T.StructType([*[docs.schema[name] for name in own], *T._parse_datatype_string("n long, node binary, grp long, prefix array<long>, bits binary").fields])
 
     def run(batches):
         counts = sketch.value
@@ -123,9 +127,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 ends.append(ends[-1] + len(prefix))
             tokens = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), lists, pa.array(bits, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in own], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), lists, pa.array(bits, pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _fits(num: int, den: int, na: str, nb: str, ia: str, ib: str) -> F.Column:
@@ -194,7 +198,11 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     The second has a row for every distinct shingle set: rep is its smallest id, root the node that names its component.
     """
-    base = pick(docs, doc_id=id_col, text=text_col)
+    return _components(pick(docs, doc_id=id_col, text=text_col), k, num, den)
+
+
+def _components(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """As ``similar_components``; further columns of ``base`` come along in the first table."""
     sig = cut(signatures(base, k, num, den), "signatures")
     full = sig.filter("n > 0")
     members = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.first("bits").alias("bits")), "members")
@@ -242,7 +250,7 @@ def similar_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links_verified"))
     classes = members.join(roots, "node", "left").join(names, "root", "left").join(degree, "node", "left")
     classes = classes.select("node", "rep", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links_verified", F.lit(0)).alias("links_verified"))
-    return sig.select("doc_id", "n", "node"), cut(classes, "classes")
+    return sig.drop("grp", "prefix", "bits"), cut(classes, "classes")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **columns) -> DataFrame:
@@ -261,21 +269,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("links_verified", F.lit(0)).alias("links_verified"))
 
 
+@small_batches
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each component (the smallest id's); texts without words stay."""
-    _, classes = similar_components(docs, k, num, den, id_col, text_col)
-    first = Window.partitionBy("root").orderBy(F.col("rep").asc_nulls_last(), "node")
-    gone = classes.filter("root != node or links_verified > 0").withColumn("turn", F.row_number().over(first)).filter("turn > 1").select("node", F.lit(True).alias("gone"))
-    rows, names = tagged(docs, key_id=id_col, key_text=text_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField("node", T.BinaryType())])
+    """The rows of ``docs`` less all but one of each component (the smallest id's); texts without words stay.
 
-    def run(batches):
-        for batch in batches:
-            nodes = [node_of(s) for s in shingle_sets(batch.column("key_text"), k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names=[*batch.schema.names, "node"])
-
-    marked = lookup(rows.mapInArrow(run, schema), cut(gone, "gone"), ["node"], "left").filter("gone is null").drop("gone")
-    # The first of equal sets; the limit is taken before the shuffle, so a hot set sends a row for each task.
-    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.col("key_id").asc_nulls_last(), "key_text"))
-    worded = marked.filter("node is not null").withColumn("turn", turn).filter("turn = 1").drop("turn")
-    return untagged(worded.unionByName(marked.filter("node is null")), names)
+    Null ids come last, equal ids go by a hash of the row; of rows equal in all columns one stays. Only ids and hashes
+    are ranked. The rows to drop are taken out by a broadcast of their hashes if those are few, else the rows that a
+    bitmap can't clear are joined with them.
+    """
+    rows, names = tagged(docs)
+    safe = dict(reversed([(name, x) for x, name in names]))
+    if missing := {id_col, text_col} - {*safe}:
+        raise ValueError(f"missing columns {sorted(missing)}; the table has {docs.columns}")
+    hashes = row_hashes([x for x, _ in names])
+    sig, classes = _components(rows.select(F.col(safe[id_col]).alias("doc_id"), F.col(safe[text_col]).alias("text"), *hashes), k, num, den)
+    worded = sig.filter("node is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "row2")
+    firsts = cut(worded.groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("copies")), "firsts")
+    linked = classes.filter("root != node or links_verified > 0")
+    heads = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("head"))
+    gone = linked.join(heads, "root").filter("node != head.node").select("node", F.lit(True).alias("gone"))
+    fates = firsts.join(gone, "node", "left").filter("gone or copies > 1").select("node", "gone", "first")
+    dropped = lookup(worded.select("node", "row", "row2"), cut(fates, "fates"), ["node"], "inner").filter("gone or row != first.row or row2 != first.row2")
+    dropped = cut(dropped.select("row", "row2").distinct(), "dropped")
+    rows = rows.select("*", *hashes)
+    if dropped.count() <= BROADCAST_HASHES:
+        kept = rows.join(F.broadcast(dropped), ["row", "row2"], "left_anti")
+    else:
+        maybe, surely = split_wanted(rows, dropped, "row")
+        kept = surely.unionByName(maybe.join(dropped, ["row", "row2"], "left_anti"))
+    # Rows equal in all columns share their fate; the few that are kept more than once meet at last.
+    twins = worded.groupBy("row", "row2").agg(F.count("*").alias("size")).filter("size > 1").select("row", "row2")
+    twins = cut(twins.join(dropped, ["row", "row2"], "left_anti"), "twins")
+    if not twins.isEmpty():
+        again = lookup(kept, twins.withColumn("twin", F.lit(True)), ["row", "row2"], "left")
+        kept = again.filter("twin is null").unionByName(again.filter("twin").dropDuplicates(["row", "row2"]))
+    return untagged(kept, names)

@@ -11,7 +11,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0xD6E8FEB86659FD93
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-PIECE_BYTES = 1 << 20  # documents are hashed in pieces of about this size; one longer document is one piece
+PIECE_BYTES = 1 << 18  # documents are hashed in pieces of about this size; one longer document is one piece
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
