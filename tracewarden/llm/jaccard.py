@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_HASHES, cut, lookup, pick, row_hashes, small_batches, tagged, untagged
 from .components import components
-from .idfilter import keep_wanted, split_wanted
+from .idfilter import keep_wanted, split_wanted, wanted_cells
 from .textnp import U64, shingle_sets
 
 SKETCH_BITS, CHUNKS = 20, 256
@@ -167,14 +167,16 @@ def verified(tried: DataFrame, docs: DataFrame, members: DataFrame, k: int, num:
     pairs = possible(tried, members, num, den)
     reps = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep")))
     wanted = cut(reps.select(F.coalesce("rep", F.lit(0)).cast("long").alias("key")).distinct(), "wanted")
-    near = keep_wanted(docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text"), wanted, "key")
+    test = wanted_cells(wanted, "key")
 
     def own(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(test(batch.column("key").to_numpy())))
             nodes = [node_of(s) for s in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text")], names=["node", "text"]).filter(pa.array([x is not None for x in nodes], pa.bool_()))
 
     # Ids may repeat, and with them texts; texts that no pair names fall out of the joins.
+    near = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text")
     texts = cut(near.mapInArrow(own, "node binary, text string"), "texts")
     if not texts.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").isEmpty():
         texts = cut(texts.dropDuplicates(["node"]), "texts")
