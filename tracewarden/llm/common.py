@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ BROADCAST_ROWS = 20_000
 BROADCAST_HASHES = 250_000
 
 # Arrow batches of whole texts hold about this much; a batch is in memory several times, in the JVM and in Python.
-BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -95,6 +98,18 @@ def small_batches(f):
     return run
 
 
+def lean(run):
+    """``run`` over the batches of a task; afterwards the worker, which goes on to other tasks, gives freed memory back."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can't trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def _number(value: str) -> int:
     digits = re.match(r"-?\d+", value)[0]
     return int(digits) << {"k": 10, "m": 20, "g": 30}.get(value[len(digits) : len(digits) + 1].lower(), 0)

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .textnp import U64, mix
 
 CHUNKS = 64
@@ -38,7 +39,7 @@ def split_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFram
             for batch in batches:
                 yield batch.filter(pa.array(test(_keys(batch.column(key))) == hit))
 
-        return rows.mapInArrow(keep, rows.schema)
+        return rows.mapInArrow(lean(keep), rows.schema)
 
     return side(True), side(False)
 
@@ -67,7 +68,7 @@ def wanted_cells(wanted: DataFrame, key: str):
             yield _row(chunk, part)
 
     schema = "chunk int, packed binary"
-    found = wanted.select(wanted[key].cast("long").alias("k")).mapInArrow(mark, schema).repartition(CHUNKS // 4, "chunk").mapInArrow(unite, schema).collect()
+    found = wanted.select(wanted[key].cast("long").alias("k")).mapInArrow(lean(mark), schema).repartition(CHUNKS // 4, "chunk").mapInArrow(lean(unite), schema).collect()
     bitmap = np.zeros((CHUNKS, per // 8), np.uint8)
     for chunk, packed in found:  # at most CHUNKS rows, at most 32 MB together
         bitmap[chunk] = np.frombuffer(bytes(packed), np.uint8)

@@ -27,13 +27,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_HASHES, cut, lookup, pick, row_hashes, small_batches, tagged, untagged
+from .common import BROADCAST_HASHES, cut, lean, lookup, pick, row_hashes, small_batches, tagged, untagged
 from .components import components
-from .idfilter import keep_wanted, split_wanted, wanted_cells
+from .idfilter import split_wanted, wanted_cells
+from .sharing import shared_keys
 from .textnp import U64, shingle_sets
 
 SKETCH_BITS, CHUNKS = 20, 256
@@ -71,7 +73,7 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition(CHUNKS // 4, "chunk").mapInArrow(add, schema)
+    parts = docs.select("text").mapInArrow(lean(count), schema).repartition(CHUNKS // 4, "chunk").mapInArrow(lean(add), schema)
     out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.int64)
     for chunk, counts in parts.collect():  # CHUNKS rows at any size of the corpus
         out[chunk] = np.frombuffer(bytes(counts), np.int64)
@@ -129,7 +131,36 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens))
             yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in own], pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.int64()), lists, pa.array(bits, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, token) of the prefixes of a batch, flattened."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("prefix")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return row, place, pc.list_flatten(batch.column("prefix")).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _postings(batch: pa.RecordBatch):
+    row, _, token = _flat(batch)
+    yield token, batch.column("grp").to_numpy(zero_copy_only=False)[row]
+
+
+def _shared_postings(in_lists, in_crowd=None):
+    """Rows (grp, n, i, token) of tokens that may be shared; groups that surely are of one document only where a test for
+    the others is given."""
+
+    def run(batches):
+        for batch in batches:
+            if in_crowd is not None:
+                batch = batch.filter(pa.array(~in_crowd(batch.column("grp").to_numpy())))
+            row, place, token = _flat(batch)
+            keep = in_lists(token)
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(at), batch.column("n").take(at), pa.array(place[keep].astype(np.int32)), pa.array(token[keep])], names=["grp", "n", "i", "token"])
+
+    return run
 
 
 def _fits(num: int, den: int, na: str, nb: str, ia: str, ib: str) -> F.Column:
@@ -159,7 +190,7 @@ def possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
                 ok.append(den * most >= num * (n + m - most))
             yield batch.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return cut(sides.mapInArrow(may, schema), "possible")
+    return cut(sides.mapInArrow(lean(may), schema), "possible")
 
 
 def verified(tried: DataFrame, docs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -177,7 +208,7 @@ def verified(tried: DataFrame, docs: DataFrame, members: DataFrame, k: int, num:
 
     # Ids may repeat, and with them texts; texts that no pair names fall out of the joins.
     near = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text")
-    texts = cut(near.mapInArrow(own, "node binary, text string"), "texts")
+    texts = cut(near.mapInArrow(lean(own), "node binary, text string"), "texts")
     if not texts.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").isEmpty():
         texts = cut(texts.dropDuplicates(["node"]), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -191,7 +222,7 @@ def verified(tried: DataFrame, docs: DataFrame, members: DataFrame, k: int, num:
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return cut(sides.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary"), "links")
+    return cut(sides.select("a", "b", "ta", "tb").mapInArrow(lean(check), "a binary, b binary"), "links")
 
 
 @small_batches
@@ -210,11 +241,14 @@ def _components(base: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     members = cut(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n"), F.first("bits").alias("bits")), "members")
     # Only groups of several documents are brought together; prefixes of all others stay where they are.
     crowded = cut(full.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp"), "crowded")
-    several, single = split_wanted(full.select("grp", "n", "prefix"), crowded, "grp")
+    lists = cut(shared_keys(full.select("grp", "prefix"), _postings, full.agg(F.sum(F.size("prefix"))).first()[0] or 0).select(F.col("key").alias("token")), "lists")
+    in_crowd, in_lists = wanted_cells(crowded, "grp"), wanted_cells(lists, "token")
+    schema = "grp long, n long, i int, token long"
+    single = full.select("grp", "n", "prefix").mapInArrow(lean(_shared_postings(in_lists, in_crowd)), schema)
+    several, _ = split_wanted(full.select("grp", "n", "prefix"), crowded, "grp")
     several = cut(several.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
-    postings = single.unionByName(several).select("grp", "n", F.posexplode("prefix").alias("i", "token"))
-    lists = cut(postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "lists")
-    shared = cut(lookup(keep_wanted(postings, lists, "token"), lists, ["token"], "inner"), "shared")
+    several = several.mapInArrow(lean(_shared_postings(in_lists)), schema)
+    shared = cut(lookup(single.unionByName(several), lists, ["token"], "inner"), "shared")
     # The lead has the shingle earliest: it has the fewest rarer ones of its own, so it is the likeliest original.
     leads = shared.groupBy("token").agg(F.min(F.struct("i", "grp", "n")).alias("lead"))
 

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lookup, pick, release, small_batches
+from .common import cut, lean, lookup, pick, release, small_batches
 from .idfilter import wanted_cells
+from .sharing import shared_keys
 from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
 HASHES, BESIDE = 4, 2  # hash functions that anchor keys; further minima in a key, from one half of the anchor's interval
 TURNS, SMALL = 2, 12  # after so many rounds, lists of so few rows try all their pairs at once; twice as many after each further round
-FLUSH_ROWS, PART_ROWS = 1 << 20, 1 << 21  # window rows that a task holds before it deals them out, and that a merging task gets
 SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(HASHES)]
 PLACE_BITS = 24  # of a hash, when minima are taken with their places; more for a single text of more words
 
@@ -139,52 +139,6 @@ def _keyed(column: pa.Array, t: int):
         yield window_keys(ngrams(piece.words, SHINGLE), begin, end, t), _nodes(piece.words, piece.bounds), piece.first
 
 
-def shared_keys(base: DataFrame, t: int, words: int) -> DataFrame:
-    """(key) of the window keys that two different texts have.
-
-    Tasks deal out packed arrays of (key, node) by the key's top bits, once for each key and task, so a hot key sends
-    a row for each task; the merging tasks sort them. Their number grows with the words of the corpus.
-    """
-    parts = max(32, words * HASHES // (16 * PART_ROWS))
-    bits = (4 * parts - 1).bit_length()
-
-    def deal(batches):
-        held, n = [], 0
-
-        def flush():
-            rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0].view(U64)))]
-            new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            last = np.r_[new[1:], len(rows)] - 1
-            rows = rows[np.union1d(new, last[rows[last, 1] != rows[new, 1]])]
-            part = (rows[:, 0].view(U64) >> U64(64 - bits)).astype(np.int64)
-            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-            packed = [rows[lo:hi].tobytes() for lo, hi in zip(cuts.tolist(), cuts[1:].tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int64()), pa.array(packed, pa.binary())], names=["part", "packed"])
-
-        for batch in batches:
-            for rows, nodes, _ in _keyed(batch.column("text"), t):
-                if len(rows):
-                    held.append(np.stack([rows[:, 0], nodes[rows[:, 1]]], 1))
-                    n += len(rows)
-                if n > FLUSH_ROWS:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-
-    def merge(batches):
-        packed = [np.frombuffer(x, np.int64).reshape(-1, 2) for batch in batches for x in batch.column("packed").to_pylist()]
-        if packed:
-            rows = np.concatenate(packed)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            last = np.r_[new[1:], len(rows)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows[new[rows[new, 1] != rows[last, 1]], 0])], names=["key"])
-
-    return base.select("text").mapInArrow(deal, "part long, packed binary").repartition(parts, "part").mapInArrow(merge, "key long")
-
-
 def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap: int) -> list[tuple[int, int, int, int, float]]:
     """Passages (start, end, start, end, similarity) in words, ends exclusive, that shingle sequences x and y share."""
     order = np.argsort(y, kind="stable")
@@ -291,9 +245,15 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
             nodes, sizes = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(sizes)], names=["doc_id", "node", "n"]).filter(pa.array(sizes >= min_words))
 
-    seen = cut(base.mapInArrow(own, T.StructType([base.schema["doc_id"], *T._parse_datatype_string("node long, n long").fields])), "nodes")
+    seen = cut(base.mapInArrow(lean(own), T.StructType([base.schema["doc_id"], *T._parse_datatype_string("node long, n long").fields])), "nodes")
     members = cut(seen.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "nodes")
-    lists = cut(shared_keys(base, t, seen.agg(F.sum("n")).first()[0] or 0), "lists")
+
+    def keyed(batch):
+        for rows, nodes, _ in _keyed(batch.column("text"), t):
+            yield np.ascontiguousarray(rows[:, 0]), nodes[rows[:, 1]]
+
+    # About two windows a passage's length for each function, most with one key.
+    lists = cut(shared_keys(base.select("text"), keyed, (seen.agg(F.sum("n")).first()[0] or 0) * 3 * HASHES // t), "lists")
     wanted = wanted_cells(lists, "key")
 
     def spread(batches):
@@ -302,7 +262,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
                 rows = rows[wanted(rows[:, 0])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.ascontiguousarray(rows[:, 0]), nodes[rows[:, 1]], np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3]))], names=["key", "node", "start", "end"])
 
-    rows = base.select("text").mapInArrow(spread, "key long, node long, start long, end long")
+    rows = base.select("text").mapInArrow(lean(spread), "key long, node long, start long, end long")
     open_ = cut(lookup(rows, lists, ["key"], "inner").distinct(), "open")
     release(lists)
     texts = _texts(base, open_.select("node").distinct(), members)
@@ -358,7 +318,7 @@ def _texts(base: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
             hit = pa.array(has_node(found) & has_id(batch.column("key").to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("text")], names=["node", "text"]).filter(hit)
 
-    texts = cut(base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text").mapInArrow(run, "node long, text string"), "texts")
+    texts = cut(base.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("key"), "text").mapInArrow(lean(run), "node long, text string"), "texts")
     release(named)
     if texts.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1").isEmpty():
         return texts
@@ -378,4 +338,4 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: flo
             lists = pa.array([[dict(zip(names, s)) for s in row] for row in spans if row], kind)
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(kept), batch.column("lead").filter(kept), lists], names=["node", "lead", "spans"])
 
-    return cut(sides.select("node", "lead", "x", "y").mapInArrow(run, f"node long, lead long, spans {SPANS}"), "aligned")
+    return cut(sides.select("node", "lead", "x", "y").mapInArrow(lean(run), f"node long, lead long, spans {SPANS}"), "aligned")
