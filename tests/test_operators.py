@@ -47,7 +47,7 @@ def test_canonical_values(spark):
 
 
 def test_stable_id(spark):
-    want = "A" + hashlib.sha256("x|y|true".encode()).hexdigest()[:10].upper()
+    want = "A" + hashlib.sha256("x|y|True".encode()).hexdigest()[:10].upper()
     assert one(spark, tx.stable_id("A", F.col("a"), F.col("b"), F.lit(True)), a="x", b="y") == want
 
 
@@ -55,7 +55,7 @@ def test_blocking_finds_what_the_nested_loop_finds(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "Alpha beta gamma-delta"), (2, "nothing"), (3, "ALPHABET 12!?")], "id int, text string")
     terms = spark.createDataFrame([("beta gamma",), ("alpha",), ("!?",), ("eta",), ("zz",)], "term string")
     plain = {tuple(r) for r in match.contains_join(texts, terms).select("id", "term").collect()}
-    monkeypatch.setattr(match, "NESTED_LOOP_TERMS", 1)
+    monkeypatch.setattr(match, "HELD_TERMS", 1)
     blocked = [tuple(r) for r in match.contains_join(texts, terms).select("id", "term").collect()]
     assert set(blocked) == plain and len(blocked) == len(plain) == 5
 

@@ -1,9 +1,10 @@
 import pytest
 
 from tests.oracle import SF, agree
-from tracewarden.plans import reduction, serving, texts
+from tracewarden.plans import engine, reduction, services, serving, texts
 
-QUERIES, SQL = {**reduction.QUERIES, **texts.QUERIES, **serving.QUERIES}, {**reduction.SQL, **texts.SQL, **serving.SQL}
+OWN = (reduction, texts, serving, engine, services)
+QUERIES, SQL = {k: v for m in OWN for k, v in m.QUERIES.items()}, {k: v for m in OWN for k, v in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -82,7 +82,8 @@ def word_tokens(text: Column) -> Column:
 
 def stable_id(prefix: str, *parts: Column, size: int = 10) -> Column:
     """Prefix and the first hex digits of the SHA-256 of the parts joined by a bar; booleans as True/False."""
-    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, size)))
+    text = lambda p: F.coalesce(F.when(F.typeof(p) == "boolean", F.initcap(p.cast("string"))).otherwise(p.cast("string")), F.lit(""))
+    return F.concat(F.lit(prefix), F.upper(F.substring(F.sha2(F.concat_ws("|", *map(text, parts)), 256), 1, size)))
 
 
 def squash(x: Column) -> Column:
@@ -99,11 +100,11 @@ DATE = r"(\d{4})\s*[-/年.]\s*(\d{1,2})\s*[-/月.]\s*(\d{1,2})\s*日?"
 
 
 def amount_canonical(raw: Column) -> Column:
-    """Amounts with 亿 or 万, and bare 元 from 10000 up, as whole CNY; others null."""
+    """Amounts from 10000 up as whole CNY, with 亿 and 万 multiplied out; smaller ones are noise and null."""
     number = F.regexp_replace(F.regexp_extract(raw, r"(\d[\d,，]*\.?\d*)", 1), "[,，]", "").try_cast("double")
     scale = F.when(raw.contains("亿"), 1e8).when(raw.contains("万"), 1e4).otherwise(1.0)
     value = F.floor(number * scale)
-    return F.when((scale > 1) | (value >= 10000), F.concat(value.cast("string"), F.lit(" CNY")))
+    return F.when(value >= 10000, F.concat(value.cast("string"), F.lit(" CNY")))
 
 
 def rate_canonical(raw: Column) -> Column:

@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import boundary_pattern, escape_regex, spans, stable_id
 
-NESTED_LOOP_TERMS = 2_000  # above this many terms, texts and terms meet by a shared word first
+try:
+    import ahocorasick
+except ModuleNotFoundError:  # texts and terms then meet by shared trigrams at any size
+    ahocorasick = None
+
+# A vocabulary of so many terms and characters is held by every task; a larger one meets the texts by shared trigrams.
+HELD_TERMS, HELD_CHARS = 100_000, 8_000_000
+# Strength of match types.
+PRIORITY = {"exact": 6, "alias": 5, "semantic": 4, "partial": 3, "inferred": 2, "ambiguous": 1}
 
 
 def contains_join(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
-    """Pairs whose text contains the term (ignoring case).
+    """Pairs whose text contains the term (ignoring case), in any script; empty and null terms match nothing.
 
-    A vocabulary of at most ``NESTED_LOOP_TERMS`` rows (counted) is broadcast. A larger one is joined on words: the
-    longest word of a term is a piece of some word of the text, found by its leading three letters in word trigrams;
-    terms without such a word keep the broadcast.
+    A vocabulary of bounded rows and characters (both counted) is compiled to one automaton, and every text is read
+    once, whatever the number of terms. A larger one is joined on trigrams: a term's first one, carried with a hash of
+    the text, then checked on the text. Terms of one or two characters are few and stay with the automaton.
     """
-    holds = F.contains(F.lower(text), F.lower(term))
-    if terms.limit(NESTED_LOOP_TERMS + 1).count() <= NESTED_LOOP_TERMS:
-        return texts.join(F.broadcast(terms), holds)
-    words = F.regexp_extract_all(F.lower(term), F.lit("([a-z0-9]+)"), F.lit(1))
-    longest = F.element_at(F.array_sort(words, lambda a, b: F.length(a) - F.length(b)), -1)
-    keyed = terms.withColumn("gram", F.when(F.size(words) > 0, F.substring(longest, 1, 3)))
+    terms = terms.filter(F.coalesce(F.length(term), F.lit(0)) > 0)
+    size = terms.limit(HELD_TERMS + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(term)), F.lit(0))).first()
+    if ahocorasick is not None and size[0] <= HELD_TERMS and size[1] <= HELD_CHARS:
+        return _held_join(texts, terms, text, term)
+    short, long = terms.filter(F.length(term) < 3), terms.filter(F.length(term) >= 3)
     body = F.lower(text)
     tri = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(body) - 2, F.lit(1))), lambda i: F.substr(body, i, F.lit(3))))
-    long = keyed.filter(F.length("gram") == 3)
-    near = texts.withColumn("gram", F.explode(tri)).join(long, "gram").filter(holds).drop("gram")
-    rest = keyed.filter("gram is null or length(gram) < 3").drop("gram")
-    return near.unionByName(texts.join(F.broadcast(rest), holds))
+    hashed = texts.withColumn("_text", F.xxhash64(text))
+    seen = hashed.select("_text", F.explode(tri).alias("_gram")).distinct()
+    near = seen.join(long.withColumn("_gram", F.substring(F.lower(F.col(term)), 1, 3)), "_gram").drop("_gram")
+    holds = F.contains(F.lower(text), F.lower(term))
+    return hashed.join(near, "_text").filter(holds).drop("_text").unionByName(texts.join(F.broadcast(short), holds))
+
+
+def _held_join(texts: DataFrame, terms: DataFrame, text: str, term: str) -> DataFrame:
+    rows = [(i, *r) for i, r in enumerate(terms.withColumn("_low", F.lower(term)).collect())]  # HELD_TERMS at most
+    spark, low = texts.sparkSession, {}
+    for r in rows:
+        low.setdefault(r[-1], []).append(r[0])
+    rows = [r[:-1] for r in rows]
+    held = spark.sparkContext.broadcast(list(low.items()))
+    table = spark.createDataFrame(rows, T.StructType([T.StructField("_hit", T.IntegerType()), *terms.schema.fields]))
+    schema = T.StructType([*texts.schema.fields, T.StructField("_hits", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for word, ids in held.value:
+            automaton.add_word(word, ids)
+        if held.value:
+            automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({i for _, ids in automaton.iter(t) for i in ids}) if t and held.value else [] for t in batch.column("_low").to_pylist()]
+            own = [batch.column(c) for c in range(batch.num_columns - 1)]
+            out = pa.RecordBatch.from_arrays([*own, pa.array(found, pa.list_(pa.int32()))], names=schema.names)
+            yield out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    hits = texts.withColumn("_low", F.lower(text)).mapInArrow(run, schema)
+    return hits.withColumn("_hit", F.explode("_hits")).drop("_hits").join(F.broadcast(table), "_hit").drop("_hit")
 
 
 def literal_anchors(texts: DataFrame, terms: DataFrame, boundaries: bool = False) -> DataFrame:
@@ -39,17 +75,68 @@ def literal_anchors(texts: DataFrame, terms: DataFrame, boundaries: bool = False
 
 
 def infer(anchors: DataFrame, rules: DataFrame) -> DataFrame:
-    """One pass of public rules: (field_name, canonical) implies (tgt_field, tgt_value); the first rule of a target wins."""
+    """One pass of public rules: (field_name, canonical) implies (tgt_field, tgt_value); the first rule of a target wins.
+
+    Where anchors have an ``anchor_id``, the inferred ones name it as their ``source_anchor_id``.
+    """
     first = Window.partitionBy("src_field", "src_value", "tgt_field", "tgt_value").orderBy("ord")
     once = rules.withColumn("turn", F.row_number().over(first)).filter("turn = 1").drop("turn", "ord")
     joined = anchors.join(once, (F.col("field_name") == F.col("src_field")) & (F.col("canonical") == F.col("src_value")))
+    if "anchor_id" in anchors.columns:
+        joined = joined.withColumn("source_anchor_id", F.col("anchor_id"))
     return joined.withColumn("field_name", F.col("tgt_field")).withColumn("canonical", F.col("tgt_value")).drop("src_field", "src_value", "tgt_field", "tgt_value").withColumn("inferred", F.lit(True))
 
 
+def strength(match_type: F.Column) -> F.Column:
+    out = F.lit(0)
+    for name, rank in PRIORITY.items():
+        out = F.when(match_type == name, rank).otherwise(out)
+    return out
+
+
 def merge(anchors: DataFrame, keys: list[str]) -> DataFrame:
-    """Anchors with equal keys become one: greatest confidence, strongest match type, sources united."""
-    rank = F.when(F.col("match_type") == "exact", 4).when(F.col("match_type") == "normalized", 3).when(F.col("match_type") == "alias", 2).otherwise(1)
-    return anchors.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.max_by("match_type", rank).alias("match_type"), F.array_sort(F.collect_set("extractor")).alias("extractors"), F.count("*").alias("merged"))
+    """Anchors with equal keys become one: greatest confidence, strongest match type, sources united; protected where
+    one is, and accepted values in the order of the extractors, where anchors have them."""
+    out = [F.max("confidence").alias("confidence"), F.max_by("match_type", strength(F.col("match_type"))).alias("match_type"), F.array_sort(F.collect_set("extractor")).alias("extractors"), F.count("*").alias("merged")]
+    if "protected" in anchors.columns:
+        out.append(F.max("protected").alias("protected"))
+    if "accepted" in anchors.columns:
+        out.append(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("extractor", "accepted"))), lambda x: x["accepted"]))).alias("accepted"))
+    if "anchor_id" in anchors.columns:
+        out.append(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("extractor", "anchor_id"))), lambda x: x["anchor_id"])).alias("merged_anchor_ids"))
+    return anchors.groupBy(*keys).agg(*out)
+
+
+def collapse(anchors: DataFrame, key: list[str]) -> DataFrame:
+    """The best anchor of each (key.., source, field_name, canonical, inferred): by match type, confidence, length of text."""
+    best = Window.partitionBy(*key, "source", "field_name", "canonical", "inferred").orderBy(strength(F.col("match_type")).desc(), F.desc("confidence"), F.length("text").desc(), "start", "end")
+    return anchors.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+
+
+def add_normalized(anchors: DataFrame, normalized: DataFrame, key: list[str]) -> DataFrame:
+    """Normalised anchors whose (key.., source, field_name, canonical) no other anchor has, once each, under the others."""
+    same = [*key, "source", "field_name", "canonical"]
+    fresh = normalized.dropDuplicates(same).join(anchors.select(*same).distinct(), same, "left_anti")
+    return anchors.unionByName(fresh, allowMissingColumns=True)
+
+
+# Fields of confidential facts whose values are weak when short.
+CONFIDENTIAL_FIELDS = ["secret_content", "secret_summary", "secret_keywords", "confidential_level", "attack_paraphrases"]
+
+
+def weak_value(field: F.Column, value: F.Column) -> F.Column:
+    """Values of confidential fields of fewer than four characters without white space and punctuation."""
+    return field.isin(CONFIDENTIAL_FIELDS) & (F.length(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)[\s\W_]+", "")) < 4)
+
+
+def vocabulary(facts_long: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(field_name, canonical, term, match_type): each value of the pool, and the aliases of canonical values; weak ones are left out."""
+    own = facts_long.select("field_name", F.col("value").alias("canonical")).distinct()
+    out = own.select("field_name", "canonical", F.col("canonical").alias("term"), F.lit("exact").alias("match_type"))
+    if aliases is not None:
+        out = out.unionByName(aliases.select("field_name", "canonical", "term", F.lit("alias").alias("match_type")))
+    first = out.filter((F.coalesce("term", F.lit("")) != "") & ~weak_value(F.col("field_name"), F.col("term")))
+    return first.groupBy("field_name", "canonical", "term").agg(F.max_by("match_type", strength(F.col("match_type"))).alias("match_type"))
 
 
 def anchor_id(*columns: str) -> F.Column:

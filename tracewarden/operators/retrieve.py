@@ -6,11 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squash
+from .match import contains_join, weak_value
 
 # Fixed values.
 K1, B, UNSEEN_IDF, MIN_SCORE, PER_FIELD, TOP = 1.2, 0.75, 0.1, 0.08, 8, 40
-FUSION = {"bm25": 0.45, "ngram": 0.30, "alias": 0.20, "hint": 0.05}
+FUSION = {"alias": 0.45, "bm25": 0.30, "ngram": 0.20, "hint": 0.05}
 ALIAS_POINTS = {"canonical": 3.5, "alias": 3.0, "component": 2.0, "clue": 1.0}
+ALIAS_MARKS = {"canonical": "cv", "alias": "alias", "component": "comp", "clue": "clue"}
+# Words that hint at a field.
+FIELD_HINTS = {
+    "medication": ["用药", "治疗", "处方", "药物", "双抗", "抗血小板", "beta受体阻滞剂", "替格瑞洛", "阿司匹林", "华法林"],
+    "diagnosis": ["诊断", "病情", "疾病", "心梗", "脑卒中", "冠心病", "心房颤动", "心衰", "肿瘤", "骨折"],
+    "insurance_level": ["医保", "报销", "自费", "城镇职工", "城镇居民", "商业保险"],
+    "ward_type": ["病房", "icu", "ccu", "重症", "特需", "普通病房"],
+    "department": ["科室", "心内科", "神经内科", "外科", "肿瘤科", "骨科"],
+    "condition_summary": ["心梗", "胸痛", "心悸", "脑卒中", "化疗", "骨折", "心衰", "肿瘤"],
+    "patient_name": ["患者", "病人", "病例"],
+    "loan_amount": ["金额", "贷款", "万元", "亿元", "人民币"],
+    "interest_rate": ["利率", "lpr", "bp", "年化"],
+    "credit_rating": ["评级", "信用", "aa", "bbb", "a级", "b级"],
+    "collateral": ["抵押", "担保", "质押", "研发大楼", "晶圆产线"],
+    "company_name": ["公司", "企业", "有限", "科技", "新能源", "数据服务"],
+    "industry": ["行业", "半导体", "光伏", "医疗", "数据中心", "房地产", "装备制造"],
+    "loan_type": ["贷款", "流动资金", "项目", "固定资产", "并购", "技改"],
+    "branch": ["分行", "上海", "杭州", "深圳", "南京"],
+    "component_version": ["版本", "组件", "cve", "漏洞", "xz", "utils", "5.6"],
+    "risk_status": ["风险", "高危", "暴露", "远程代码执行", "恶意代码"],
+    "disposition_status": ["处置", "修复", "回滚", "未完成", "已完成", "已隔离"],
+    "remote_entry": ["入口", "ssh", "运维", "远程"],
+    "system_name": ["系统", "平台", "服务", "链路"],
+    "function_category": ["监测", "链路", "健康"],
+    "meeting_topic": ["会议", "议题", "主题"],
+    "meeting_type": ["闭门", "评审", "谈判", "验收", "例会", "复查"],
+    "room": ["会议室", "b-307", "a-306", "c-201", "d-101"],
+    "time_slot": ["周四", "周五", "周三", "上午", "下午", "15:30", "16:00"],
+    "participants": ["供应商", "乙方", "合作方", "内部", "员工"],
+    "material_count": ["材料", "份"],
+    "restricted_content": ["纪要", "内容", "涉密"],
+    "confidential": ["涉密", "机密", "保密", "true"],
+}
 
 
 def index(docs: DataFrame, tokens: Column, key: str) -> tuple[DataFrame, DataFrame]:
@@ -47,11 +81,61 @@ def alias_points(text: Column, terms: Column) -> Column:
     return F.aggregate(F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t["term"]))), F.lit(0.0), lambda acc, t: acc + point(t))
 
 
+def alias_scores(queries: DataFrame, terms: DataFrame, query_key: str, key: str, text: str = "text") -> DataFrame:
+    """(query_key, key, alias, matched): points of a document's terms (key, kind, term) that a query contains, and those
+    terms with their kind's mark; weak values are to be left out of ``terms``."""
+    hits = contains_join(queries.select(query_key, F.col(text).alias("_text")), terms.select(key, "kind", "term"), "_text", "term").select(query_key, key, "kind", "term").distinct()
+    point, mark = F.lit(0.0), F.lit("")
+    for kind, points in ALIAS_POINTS.items():
+        point, mark = F.when(F.col("kind") == kind, points).otherwise(point), F.when(F.col("kind") == kind, ALIAS_MARKS[kind]).otherwise(mark)
+    return hits.groupBy(query_key, key).agg(F.sum(point).alias("alias"), F.array_sort(F.collect_list(F.concat(mark, F.lit(":"), F.col("term")))).alias("matched"))
+
+
 def hint(text: Column, hints: Column) -> Column:
     n = F.size(F.filter(hints, lambda h: F.contains(text, h)))
     return F.when(n >= 2, 1.0).when(n == 1, 0.5).otherwise(0.0)
 
 
+def field_hint(text: Column, field: Column, table: dict[str, list[str]] | None = None) -> Column:
+    """The hint score of a field's words in a normalised text; 0 for fields without words."""
+    out = F.lit(0.0)
+    for name, words in (table or FIELD_HINTS).items():
+        out = F.when(field == name, hint(text, F.array(*map(F.lit, words)))).otherwise(out)
+    return out
+
+
+def candidate_documents(facts_long: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, field_name, value, text, ord): a document for each distinct (field, value) that is not weak, in the order of
+    fields, then of the pool.
+
+    Its text joins field, label, value and the value's aliases, components and clues (``terms``: field_name, canonical,
+    kind, term, ord). ``facts_long``: (field_name, value, field_rank, position).
+    """
+    own = facts_long.filter((F.coalesce("value", F.lit("")) != "") & ~weak_value(F.col("field_name"), F.col("value"))).groupBy("field_name", "value").agg(F.min(F.struct("field_rank", "position")).alias("ord"))
+    rows = own.join(labels.select("field_name", "label"), "field_name", "left").withColumn("label", F.coalesce("label", "field_name"))
+    parts = [F.col("field_name"), F.col("label"), F.col("value")]
+    if terms is not None:
+        rank = F.when(F.col("kind") == "alias", 0).when(F.col("kind") == "component", 1).otherwise(2)
+        told = terms.withColumn("_k", rank).groupBy("field_name", F.col("canonical").alias("value")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "ord", "term"))), lambda x: x["term"]), " | ").alias("_told"))
+        rows = rows.join(told, ["field_name", "value"], "left")
+        parts.append(F.nullif("_told", F.lit("")))
+    return rows.select(F.concat_ws("=", "field_name", "value").alias("doc_id"), "field_name", "value", F.concat_ws(" | ", *parts).alias("text"), "ord")
+
+
+def stats(ranked: DataFrame, query_key: str, field: str = "field_name", score: str = "score") -> DataFrame:
+    """(query_key, candidates, max_score, avg_score, top_fields): the fields by how many candidates they have, ten at most."""
+    fields = ranked.groupBy(query_key, field).agg(F.count("*").alias("_n"))
+    top = fields.groupBy(query_key).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), field))), lambda x: x[field]), 1, 10).alias("top_fields"))
+    return ranked.groupBy(query_key).agg(F.count("*").alias("candidates"), F.max(score).alias("max_score"), F.avg(score).alias("avg_score")).join(top, query_key)
+
+
+def grouped_values(ranked: DataFrame, query_key: str, field: str = "field_name", value: str = "value", rank: str = "rank", most: int = 10) -> DataFrame:
+    """(query_key, field, values): distinct values of each field in the order of their rank, ``most`` at most."""
+    first = ranked.groupBy(query_key, field, value).agg(F.min(rank).alias("_r"))
+    kept = first.withColumn("_n", F.row_number().over(Window.partitionBy(query_key, field).orderBy("_r", value))).filter(F.col("_n") <= most)
+    return kept.groupBy(query_key, field).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))
+
+
 def fuse(bm: Column, ngram: Column, alias: Column, hints: Column) -> Column:
     return FUSION["bm25"] * squash(bm) + FUSION["ngram"] * ngram + FUSION["alias"] * squash(alias) + FUSION["hint"] * hints
 

@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.terms import has_city
+
 THRESHOLD, GENERAL, EMPTY = 0.55, 0.3, 0.5
+# Patterns of each domain with their weights; they meet lower-cased text, so upper-case literals never match.
+DOMAINS = {
+    "healthcare": [
+        (r"住院|出院|转院|入院", 0.95), (r"患者|病人|病患|病号", 0.95), (r"ICU|CCU|NICU|重症监护|监护室", 0.95), (r"诊断|确诊|疑似|查体|体格检查", 0.90),
+        (r"用药|处方|医嘱|给药|剂量|服用|静脉|口服|注射", 0.90), (r"医保|社保|自费|报销|结算|缴费|住院费|门诊费", 0.85), (r"病区|科室|病房|床位|护理|护士站", 0.85), (r"病史|既往史|过敏史|家族史|个人史", 0.90),
+        (r"化验|体检|医学检查|身体检查|影像检查|CT|MRI|X光|B超|心电图|血常规|尿常规", 0.85), (r"手术|术后|术前|麻醉|切口|拆线|换药", 0.85), (r"抗凝|降压|降糖|降脂|抗生素|激素|化疗|放疗", 0.85),
+        (r"急性|慢性|心肌梗死|心梗|脑梗|脑出血|肺炎|糖尿病|高血压|冠心病", 0.90), (r"体温|血压|心率|呼吸|血氧|脉搏", 0.70), (r"替格瑞洛|阿司匹林|氯吡格雷|华法林|肝素", 0.90), (r"主治医生|主任医师|住院医生|管床医生|护士长", 0.80),
+    ],
+    "finance": [
+        (r"贷款|信贷|授信|额度|放款|还款|展期|续贷", 0.95), (r"利率|利息|LPR|基准利率|浮动利率|固定利率", 0.90), (r"抵押|质押|担保|保证人|反担保", 0.90), (r"企业信用|征信|信用评级|信用报告|黑名单|失信", 0.90),
+        (r"流动资金|项目贷款|固定资产贷款|并购贷款|银团贷款", 0.85), (r"审批|风控|尽调|贷前|贷后|贷中", 0.80), (r"银行|支行|分行|信贷部|风险部", 0.70), (r"资产负债表|利润表|现金流量表|财报|审计", 0.75),
+        (r"不良贷款|逾期|坏账|拨备|核销", 0.85), (r"半导体|芯片|集成电路|光伏|新能源|制造业|房地产", 0.40),
+    ],
+    "aerospace": [
+        (r"航天|测控|卫星|火箭|发射|轨道|遥测", 0.95), (r"CVE-\d{4}-\d+|漏洞|补丁|版本号|组件版本|依赖", 0.85), (r"XZ|\.xz|liblzma|供应链|后门|植入", 0.85), (r"生产区|测试区|研发区|办公区|网段|VLAN", 0.80),
+        (r"资产|台账|受控|涉密|密级|定密", 0.50), (r"远程入口|SSH|RDP|堡垒机|跳板机|VPN|专线", 0.75), (r"处置|止血|隔离|下线|封禁|应急响应", 0.60), (r"运维|监控|告警|日志|审计|态势感知", 0.50),
+    ],
+    "meetings": [
+        (r"会议室|会议|例会|周会|月会|汇报|评审|研讨会", 0.90), (r"预约|预订|预定|占用|空闲|时间段", 0.80), (r"参会|与会|主持人|记录人|纪要|议题|议程", 0.85), (r"视频会议|电话会议|线上会议|线下会议|远程会议", 0.85), (r"投屏|投影|白板|麦克风|音响|设备", 0.60),
+    ],
+    "general_weather": [
+        (r"天气|气温|温度|降雨|降雪|刮风|风力|雾霾|空气质量|AQI|湿度|紫外线", 0.95), (r"明天|今天|后天|未来.*天|下周|本周|周末", 0.70), (r"晴|阴|多云|雨|雪|暴|台风|寒潮|高温|低温|霜冻|冰雹", 0.60), (r"天气预报|气象|天气查询|带伞|穿衣|出行|防晒", 0.85),
+    ],
+    "general_chat": [
+        (r"你好|您好|嗨|哈喽|hello|hi", 0.80), (r"谢谢|感谢|多谢|thank", 0.80), (r"再见|拜拜|bye|晚安|早安|下午好|晚上好|中午好", 0.80), (r"你是谁|你叫什么|你的名字|你的功能|你能做什么|介绍一下自己", 0.80),
+        (r"讲个笑话|说个笑话|冷笑话|段子", 0.80), (r"什么是|介绍一下|解释一下|科普|百科|知识", 0.40),
+    ],
+}
+MEDICAL = "医院|医生|患者|病人|门诊|住院|病房|科室|诊断|治疗|体检"
+TIMES = "明天|今天|后天|未来|下周|本周|周末|预报|查询"
+CHECK, CHECK_WEIGHT, WEATHER_FACTOR = "检查", 0.75, 1.5
+SCENARIOS = ["healthcare", "finance", "aerospace", "meetings"]
+WEATHER_PROMPT = """你是一个通用的AI助手。当用户询问天气时，请遵循以下规则：
+- 如果用户没有指定城市，礼貌地追问「请问您想查询哪个城市的天气？」
+- 如果用户指定了城市，请说明「当前未接入实时天气数据源，无法提供准确的天气预报。建议您使用天气类 App 或访问中国气象局官网查询。」
+- 不要编造天气数据，不要以任何专业领域（医疗、金融、航天等）助手的身份回答。
+- 回答应友好、简洁，控制在 2-3 句话以内。"""
+GENERAL_PROMPT = """你是一个通用的AI助手，可以帮助用户解答各种问题。
+注意：
+- 回答应友好、专业、自然
+- 不要以任何特定领域专家（医生、信贷经理、运维工程师等）的身份回答
+- 回答应简洁，控制在 2-4 句话以内
+- 如果问题超出你的知识范围，请诚实说明"""
 
 
 def classify(turns: DataFrame, rules: list[tuple[str, str, float]], key: str, text: str = "text") -> DataFrame:
@@ -27,6 +72,46 @@ def classify(turns: DataFrame, rules: list[tuple[str, str, float]], key: str, te
     return best.select(key, F.when(~empty & sure, F.col("best.domain")).otherwise("general").alias("domain"), F.when(empty, EMPTY).when(sure, F.col("best.confidence")).otherwise(GENERAL).alias("confidence"))
 
 
+def intents(turns: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, domain, confidence, patterns): the built-in domains, with their two special cases.
+
+    A medical word beside 检查 lifts healthcare by a pattern of 0.75; a word of weather beside a word of time multiplies
+    weather by 1.5, up to 1. Of equal scores the domain listed first wins; below the threshold it is general chat.
+    """
+    body = F.lower(F.coalesce(F.col(text), F.lit("")))
+    scores = []
+    for place, (domain, patterns) in enumerate(DOMAINS.items()):
+        miss, n = F.lit(1.0), F.lit(0)
+        for pattern, weight in patterns:
+            hit = body.rlike(pattern)
+            miss, n = miss * F.when(hit, 1 - weight).otherwise(1.0), n + hit.cast("int")
+        own = 1 - miss
+        if domain == "healthcare":
+            medical = F.contains(body, F.lit(CHECK)) & body.rlike(MEDICAL)
+            own, n = F.when(medical, 1 - miss * (1 - CHECK_WEIGHT)).otherwise(own), n + medical.cast("int")
+        if domain == "general_weather":
+            own = F.when((n > 0) & body.rlike(TIMES), F.least(F.lit(1.0), own * WEATHER_FACTOR)).otherwise(own)
+        scores.append(F.struct(own.alias("confidence"), F.lit(-place).alias("order"), F.lit(domain).alias("domain"), n.alias("patterns")))
+    best = turns.select(key, body.alias("body"), F.array_max(F.array(*scores)).alias("best"))
+    empty, sure = F.regexp_replace("body", r"(?U)\s", "") == "", F.col("best.confidence") >= THRESHOLD
+    return best.select(
+        key, F.when(~empty & sure, F.col("best.domain")).otherwise("general_chat").alias("domain"),
+        F.when(empty, EMPTY).when(sure, F.round("best.confidence", 3)).otherwise(GENERAL).alias("confidence"), F.when(~empty & sure, F.col("best.patterns")).otherwise(0).alias("patterns"),
+    )
+
+
+def scenario(domain: Column) -> Column:
+    """The business scenario of a domain, else general."""
+    return F.when(domain.isin(SCENARIOS), domain).otherwise("general")
+
+
+def general_answer(domain: Column, text: Column) -> Column:
+    """(strategy, prompt) of a turn outside the scenarios: weather without a city is asked for one."""
+    weather = domain == "general_weather"
+    strategy = F.when(weather & ~has_city(text), "need_city_prompt").when(weather, "weather_answer").otherwise("general_answer")
+    return F.struct(strategy.alias("strategy"), F.when(weather, WEATHER_PROMPT).otherwise(GENERAL_PROMPT).alias("prompt"))
+
+
 def majority(routed: DataFrame, key: str) -> DataFrame:
     """The most frequent domain of a key's turns, ties by name."""
     counts = routed.groupBy(key, "domain").agg(F.count("*").alias("n"))

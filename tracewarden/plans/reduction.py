@@ -63,7 +63,7 @@ select turn_id, by_type, by_size, case when by_size then a else l end as remaini
 
 
 def reduction_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = part_turns(spark, sf_dir).select("turn_id", "p_brand", "p_type", F.col("other_size").alias("p_size")).filter("p_size is not null")
+    turns = part_turns(spark, sf_dir).select("turn_id", "p_brand", "p_type", F.col("other_size").alias("p_size"))
     pool = table(spark, sf_dir, "part")
     cube, total = reduce.pool_cube(pool, FIELDS), pool.count()
     for i in range(3):
@@ -71,16 +71,17 @@ def reduction_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = F.array(F.lit(total), "n1", "n2", "n3")
     steps = F.transform(F.array(*map(F.lit, FIELDS)), lambda f, i: F.struct((i + 1).alias("step"), f.alias("field_name"), F.get(counts, i).alias("before"), F.get(counts, i + 1).alias("after")))
     # The chain stops with the step that empties the pool.
-    return turns.select("turn_id", F.explode(F.filter(steps, lambda s: s["before"] > 0)).alias("s")).select("turn_id", F.col("s.step").cast("int").alias("step"), "s.field_name", "s.before", "s.after")
+    stated = F.array(F.lit(True), F.lit(True), F.col("p_size").isNotNull())
+    return turns.select("turn_id", F.explode(F.filter(steps, lambda s: (s["before"] > 0) & F.get(stated, s["step"] - 1))).alias("s")).select("turn_id", F.col("s.step").cast("int").alias("step"), "s.field_name", "s.before", "s.after")
 
 
 REDUCTION_CHAIN = f"""
 with {PART_TURNS_SQL},
 c as (select turn_id, (select count(*) from part) as n0, (select count(*) from part x where x.p_brand = t.p_brand) as n1,
   (select count(*) from part x where x.p_brand = t.p_brand and x.p_type = t.p_type) as n2,
-  (select count(*) from part x where x.p_brand = t.p_brand and x.p_type = t.p_type and x.p_size = t.other_size) as n3 from part_turns t where other_size is not null)
+  (select count(*) from part x where x.p_brand = t.p_brand and x.p_type = t.p_type and x.p_size = t.other_size) as n3, other_size from part_turns t)
 select turn_id, 1 as step, 'p_brand' as field_name, n0 as before, n1 as after from c
-union all select turn_id, 2, 'p_type', n1, n2 from c where n1 > 0 union all select turn_id, 3, 'p_size', n2, n3 from c where n2 > 0
+union all select turn_id, 2, 'p_type', n1, n2 from c where n1 > 0 union all select turn_id, 3, 'p_size', n2, n3 from c where n2 > 0 and other_size is not null
 """
 
 

@@ -80,6 +80,7 @@ select doc_id, field as field_name, kind as canonical, cast(max(c) as double) as
 from documents join t on contains(lower(text), term) group by 1, 2, 3
 """
 
+DIGITS = 9  # sums of floats differ in their last digits by the order of addition: ranks go by so many
 WORDS_SQL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 
@@ -105,7 +106,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     bm, _ = _scores(spark, sf_dir)
-    return retrieve.cut_top(bm.withColumn("score", F.round("bm25", 6)), "item_id", None, "doc_id", top=5).select("item_id", "doc_id", "score", "rank")
+    return retrieve.cut_top(bm.withColumn("score", F.round("bm25", DIGITS)), "item_id", None, "doc_id", top=5).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _BM_SQL = f"""
@@ -115,14 +116,14 @@ df as (select t, ln(1 + (total - count(*) + 0.5) / (count(*) + 0.5)) as idf from
 q as (select distinct item_id, unnest({WORDS_SQL}) as t from benchmark),
 bm as (select item_id, tf.doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avgdl))) as s from q join df using (t) join tf using (t) join len on len.doc_id = tf.doc_id, st group by 1, 2)"""
 BM25_TOPK = f"""
-with {_BM_SQL}, r as (select item_id, doc_id, round(s, 6) as score, row_number() over (partition by item_id order by round(s, 6) desc, doc_id) as rank from bm where round(s, 6) >= 0.08)
+with {_BM_SQL}, r as (select item_id, doc_id, round(s, 6) as score, row_number() over (partition by item_id order by round(s, {DIGITS}) desc, doc_id) as rank from bm where round(s, {DIGITS}) >= 0.08)
 select item_id, doc_id, score, rank from r where rank <= 5
 """
 
 
 def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ng = _scores(spark, sf_dir)
-    return retrieve.cut_top(ng.withColumn("score", F.round("ngram", 6)), "item_id", None, "doc_id", top=5).select("item_id", "doc_id", "score", "rank")
+    return retrieve.cut_top(ng.withColumn("score", F.round("ngram", DIGITS)), "item_id", None, "doc_id", top=5).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _bigram_sql(column: str) -> str:
@@ -136,25 +137,31 @@ q2 as (select distinct item_id, unnest({_bigram_sql('w')}) as t from (select ite
 qw as (select item_id, sum(coalesce(idf, 0.1)) as whole from q2 left join df2 using (t) group by 1),
 ng as (select q2.item_id, doc_id, sum(idf) / any_value(whole) as s from q2 join df2 using (t) join tf2 using (t) join qw on qw.item_id = q2.item_id group by 1, 2)"""
 NGRAM_OVERLAP = f"""
-with {_NG_SQL}, r as (select item_id, doc_id, round(s, 6) as score, row_number() over (partition by item_id order by round(s, 6) desc, doc_id) as rank from ng where round(s, 6) >= 0.08)
+with {_NG_SQL}, r as (select item_id, doc_id, round(s, 6) as score, row_number() over (partition by item_id order by round(s, {DIGITS}) desc, doc_id) as rank from ng where round(s, {DIGITS}) >= 0.08)
 select item_id, doc_id, score, rank from r where rank <= 5
 """
 
 
 def fused_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for items by all four signals: the item's first sentence is its canonical term, its source a field with a hint."""
     bm, ng = _scores(spark, sf_dir)
-    hits = match.contains_join(_documents(spark, sf_dir), _passages(spark, sf_dir)).select("item_id", "doc_id", F.lit(retrieve.ALIAS_POINTS["canonical"]).alias("alias"))
-    rows = bm.join(ng, ["item_id", "doc_id"], "left").join(hits, ["item_id", "doc_id"], "left").fillna(0.0, ["ngram", "alias"])
-    rows = rows.withColumn("score", F.round(retrieve.fuse(F.col("bm25"), F.col("ngram"), F.col("alias"), F.lit(0.0)), 6))
-    return retrieve.cut_top(rows, "item_id", None, "doc_id", top=8).select("item_id", "doc_id", "score", "rank")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("field_name"))
+    hits = retrieve.alias_scores(docs, _passages(spark, sf_dir).withColumn("kind", F.lit("canonical")), "doc_id", "item_id").select("item_id", "doc_id", "alias")
+    rows = bm.join(ng, ["item_id", "doc_id"], "left").join(hits, ["item_id", "doc_id"], "left").fillna(0.0, ["ngram", "alias"]).join(docs.select("doc_id", "field_name"), "doc_id")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("asked"))
+    hints = retrieve.field_hint(F.col("asked"), F.substring("field_name", -1, 1), {"1": ["the", "that"], "2": ["the"]})
+    rows = rows.join(asked, "item_id").withColumn("score", F.round(retrieve.fuse(F.col("bm25"), F.col("ngram"), F.col("alias"), hints), DIGITS))
+    return retrieve.cut_top(rows, "item_id", "field_name", "doc_id", per_field=2, top=8).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 FUSED = f"""
 with {_BM_SQL}, {_NG_SQL}, {PASSAGES_SQL}, al as (select item_id, doc_id, 3.5 as a from documents join p on contains(lower(text), lower(term))),
-f as (select bm.item_id, bm.doc_id, round(0.45 * (bm.s / (bm.s + 1)) + 0.30 * coalesce(ng.s, 0) + 0.20 * (coalesce(a, 0) / (coalesce(a, 0) + 1)), 6) as score
-  from bm left join ng on ng.item_id = bm.item_id and ng.doc_id = bm.doc_id left join al on al.item_id = bm.item_id and al.doc_id = bm.doc_id),
-r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from f where score >= 0.08)
-select item_id, doc_id, score, rank from r where rank <= 8
+hi as (select item_id, contains(lower(text), 'the') as t, contains(lower(text), 'that') as u from benchmark),
+f as (select bm.item_id, bm.doc_id, coalesce(d.source, '') as source, round(0.45 * (coalesce(a, 0) / (coalesce(a, 0) + 1)) + 0.30 * (bm.s / (bm.s + 1)) + 0.20 * coalesce(ng.s, 0)
+    + 0.05 * case right(coalesce(d.source, ''), 1) when '1' then case when t and u then 1.0 when t or u then 0.5 else 0 end when '2' then case when t then 0.5 else 0 end else 0 end, {DIGITS}) as score
+  from bm left join ng on ng.item_id = bm.item_id and ng.doc_id = bm.doc_id left join al on al.item_id = bm.item_id and al.doc_id = bm.doc_id join documents d on d.doc_id = bm.doc_id join hi on hi.item_id = bm.item_id),
+k as (select *, row_number() over (partition by item_id, source order by score desc, doc_id) as n from f where score >= 0.08), r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from k where n <= 2)
+select item_id, doc_id, round(score, 6) as score, rank from r where rank <= 8
 """
 
 ROUTES = [("english", r"\b(the|that|with)\b", 0.5), ("english", r"\b(was|is|are)\b", 0.3), ("french", r"\b(les|une|que)\b", 0.6), ("german", r"\b(der|die|das)\b", 0.6), ("spanish", r"\b(los|las|del)\b", 0.6), ("question", r"\?", 0.7)]
@@ -190,11 +197,19 @@ select conv_id, turn, row_number() over (partition by r order by i) - 1 as claim
 
 
 def direct_leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose first sentence a document holds, in any width, case and spacing, and the markers it holds."""
     values = _passages(spark, sf_dir).select(F.col("item_id").alias("value_id"), "term")
-    return detect.direct_leaks(_documents(spark, sf_dir), values, "doc_id").groupBy("doc_id").agg(F.count("*").alias("leaked_values"))
+    found = detect.direct_leaks(_documents(spark, sf_dir), values, "doc_id")
+    return found.groupBy("doc_id").agg(F.count_distinct("value_id").alias("leaked_values"), F.count(F.when(F.col("value_id").isNull(), 1)).alias("markers"))
 
 
-DIRECT_LEAKS = f"with {PASSAGES_SQL} select doc_id, count(distinct item_id) as leaked_values from documents join p on contains(lower(text), lower(term)) group by 1"
+_FOLD = "regexp_replace(lower({0}), '\\s+', '', 'g')"
+_MARKS = " + ".join(f"case when contains(text, '{m}') or contains(f, '{detect.squeeze_space(m)}') then 1 else 0 end" for m in detect.MARKERS)
+DIRECT_LEAKS = f"""
+with {PASSAGES_SQL}, d as (select doc_id, text, {_FOLD.format('text')} as f from documents), v as (select item_id, {_FOLD.format('term')} as t from p),
+h as (select doc_id, count(distinct item_id) as n from d join v on contains(f, t) group by 1), m as (select doc_id, {_MARKS} as k from d)
+select doc_id, coalesce(n, 0) as leaked_values, k as markers from m left join h using (doc_id) where coalesce(n, 0) + k > 0
+"""
 
 # The kinds of personal and sensitive data that are flagged.
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "dotted_quad": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "long_digits": r"[0-9]{9,}", "licence": r"(?i)licen[cs]e|copyright", "money": r"[$€£][0-9][0-9,.]*"}
@@ -222,27 +237,55 @@ REDACT = f"select doc_id, sha256({_RED}) as redacted_sha256, {_RED} <> text as c
 
 def x_replace_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    terms = F.array(*[F.lit(t) for _, _, t in TERMS])
-    safe = redact.fold(F.col("text"), terms)
-    return docs.select("doc_id", F.length(safe).cast("long").alias("length"), F.regexp_count(safe, F.lit(r"\bX\b")).cast("long").alias("marks"))
+    safe = redact.fold(F.col("text"), F.array(*[F.lit(t) for _, _, t in TERMS]))
+    return docs.select("doc_id", F.length(safe).cast("long").alias("length"), (safe != F.col("text")).alias("changed"))
+
+
+_RUNS = r"regexp_split_to_array(lower(text), '[^A-Za-z0-9_.\-]+')"
+_SAVED = " + ".join(f"{len(t) - 1} * len(list_filter({_RUNS}, lambda x: x = '{t}'))" for _, _, t in TERMS)
+X_FOLD = f"select doc_id, cast(length(text) - ({_SAVED}) as bigint) as length, ({_SAVED}) > 0 as changed from documents"
+
+
+def _region_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers ask for the code of their region; every other answer is another region's. Regions are the facts."""
+    region = table(spark, sf_dir, "region")
+    facts = region.select(F.col("r_regionkey").alias("fact_id"), F.lit("secret_content").alias("field_name"), F.concat_ws(" ", "r_name", F.lit("code"), "r_regionkey").alias("text"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("r_regionkey"))
+    rows = table(spark, sf_dir, "supplier").join(nation, "s_nationkey").join(region, "r_regionkey")
+    answer = F.when(F.col("s_suppkey") % 2 == 0, F.col("r_regionkey")).otherwise((F.col("r_regionkey") + 1) % 5)
+    return rows.select(F.col("s_suppkey").alias("turn_id"), F.concat("r_name", F.lit(" code 预算是多少？")).alias("user_input"), answer.cast("string").alias("model_output")), facts
 
 
 def slot_restoration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose answer's first word completes a fact: the facts are the users' next turns."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    question = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("t"), F.col("text").alias("question"))
-    answer = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("t"), F.col("text").alias("answer"))
-    fact = turns.filter("role = 'user'").select("conv_id", (F.col("turn") - 2).alias("t"), F.col("text").alias("fact"))
-    rows = question.join(answer, ["conv_id", "t"]).join(fact, ["conv_id", "t"])
-    value = F.regexp_extract("answer", r"(?U)(\w{4,})", 1)
-    return rows.select("conv_id", F.col("t").alias("turn"), detect.slot_restored(F.col("question"), value, F.col("fact")).alias("restored"))
+    turns, facts = _region_turns(spark, sf_dir)
+    return detect.slot_restorations(turns, facts).select("turn_id", "fact_id", F.array_join("restored_fields", ",").alias("restored_fields"))
+
+
+_WORDS = "list_concat(regexp_extract_all(lower(r_name), '[a-z0-9]+'), ['code'])"
+_TERMS = "flatten(list_transform(" + _WORDS + ", lambda w: flatten([[w], " + ", ".join(f"list_transform(range(1, length(w) - {n - 2}), lambda i: substr(w, i, {n}))" for n in (8, 6, 4, 3, 2)) + "])))"
+SLOTS = f"""
+with t as (select s_suppkey, case when s_suppkey % 2 = 0 then r_regionkey else (r_regionkey + 1) % 5 end as v, list_filter({_TERMS}, lambda x: length(x) >= 3) as terms from supplier join nation on n_nationkey = s_nationkey join region on r_regionkey = n_regionkey),
+f as (select r_regionkey, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') || 'code' || r_regionkey as fact from region),
+m as (select s_suppkey, r_regionkey, list_filter(terms, lambda x: contains(fact, x)) as strong from t join f on contains(fact, cast(v as varchar))),
+h as (select * from m where len(list_filter(strong, lambda x: length(x) >= 8)) > 0 or len(list_filter(strong, lambda x: not contains(strong[1], x) and not contains(x, strong[1]))) > 0)
+select s_suppkey as turn_id, min(r_regionkey) as fact_id, 'secret_content' as restored_fields from h group by 1 having count(*) = 1
+"""
 
 
 def confirmation_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    question = turns.filter("role = 'user'").select("conv_id", "turn", F.split("text", r"[.,;\n]+").alias("fragments"))
-    answer = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return question.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", detect.confirmed(F.col("answer"), F.transform("fragments", lambda f: F.trim(f))).alias("confirmed"))
+    """Suppliers' hypotheses about their nation, which answers confirm, echo in full, echo in part or refuse to confirm."""
+    nation = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    rows = table(spark, sf_dir, "supplier").join(nation, "s_nationkey")
+    name, rest = F.concat(F.lit("nation "), "n_name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string"), F.lit(" key "), F.col("s_nationkey").cast("string"))
+    kind = F.col("s_suppkey") % 4
+    answer = F.when(kind == 0, F.concat(name, F.lit(" 正确"))).when(kind == 1, F.concat(name, F.lit(" and "), rest)).when(kind == 2, F.concat(name, F.lit(" only"))).otherwise(F.concat(F.lit("无法提供 "), name, F.lit(" 正确")))
+    turns = rows.select(F.col("s_suppkey").alias("turn_id"), answer.alias("model_output"))
+    single = rows.select(F.col("s_suppkey").alias("turn_id"), F.col("s_nationkey").alias("fact_id"), F.array(F.lit("secret_content")).alias("restored_fields"))
+    facts = nation.select(F.col("s_nationkey").alias("fact_id"), F.concat(name, F.lit("；"), rest).alias("text"))
+    return detect.confirmations(turns, single, facts).select("turn_id", "fact_id", F.size("signals").alias("signals"))
+
+
+CONFIRMED = "select s_suppkey as turn_id, s_nationkey as fact_id, case when s_suppkey % 4 = 0 then 1 else 2 end as signals from supplier where s_suppkey % 4 < 2"
 
 
 def kb_rank_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,12 +342,12 @@ AUDIT = "select event_type, count(*) as n, count(distinct user_id) as users, min
 
 def streaming_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The router over the conversations as a stream, run to its end and read back."""
-    import tempfile
     import uuid
 
+    from ..storage import shared_folder
     from ..streaming.turns import stream
 
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracewarden-")).rstrip("/")
+    base = shared_folder(spark)
     out = f"{base}/stream-{uuid.uuid4().hex}"
     # A stream reads folders: where the table is one file, its folder is filtered by name.
     schema = table(spark, sf_dir, "conversations").schema
@@ -318,6 +361,6 @@ STREAM_SQL = f"with routed as ({_routes_sql()}) select domain, count(*) as n fro
 QUERIES = {f.__name__: f for f in (literal_anchors, boundary_literals, alias_anchors, anchor_merge, bm25_topk, ngram_overlap, fused_retrieval, intent_router, sentence_claims, direct_leak_scan, pii_amount_flags, redact_patterns, x_replace_fold, slot_restoration, confirmation_echo, kb_rank_catalog, unit_selection, import_normalise, audit_rollup, streaming_turns)}
 SQL = {
     "literal_anchors": LITERAL_ANCHORS, "boundary_literals": BOUNDARY_LITERALS, "alias_anchors": ALIAS_ANCHORS, "anchor_merge": ANCHOR_MERGE, "bm25_topk": BM25_TOPK, "ngram_overlap": NGRAM_OVERLAP,
-    "fused_retrieval": FUSED, "intent_router": _routes_sql(), "sentence_claims": SENTENCE_CLAIMS, "direct_leak_scan": DIRECT_LEAKS, "pii_amount_flags": PII_FLAGS, "redact_patterns": REDACT,
+    "fused_retrieval": FUSED, "intent_router": _routes_sql(), "sentence_claims": SENTENCE_CLAIMS, "direct_leak_scan": DIRECT_LEAKS, "x_replace_fold": X_FOLD, "slot_restoration": SLOTS, "confirmation_echo": CONFIRMED, "pii_amount_flags": PII_FLAGS, "redact_patterns": REDACT,
     "unit_selection": UNIT_SELECTION, "import_normalise": IMPORT, "audit_rollup": AUDIT, "streaming_turns": STREAM_SQL,
 }
