@@ -332,3 +332,18 @@ def test_chat(spark):
     assert r.prompt == "<|im_start|>user\nq<|im_end|>\n" and r.chosen_completion == "<|im_start|>assistant\ngood<|im_end|>\n" and r.usable
     assert [r.chosen_completion[s.start : s.end] for s in r.chosen_spans] == ["good<|im_end|>\n"]
     assert got[2].rejected_completion == "" and not got[2].usable and got[3].chosen_completion == got[3].rejected_completion == ""
+
+
+def test_gif_headers_that_ask_for_too_much(spark):
+    import struct
+
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    rows = gif.gif_frames(spark.createDataFrame([(1, huge), (2, None)], "id long, media binary")).collect()
+    assert {(r.id, r.error) for r in rows} == {(1, "too many pixels"), (2, "empty")}
+
+
+def test_repeated_ids_bring_one_row_to_the_sample(spark):
+    rows = [(1, f"text {i % 3} of many", "en", "a", 1) for i in range(300)] + [(2, "another text", "en", "a", 1)]
+    model = cotrain.train(odd(spark, rows, False), spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert cotrain.score(odd(spark, rows, False), model).count() == 301
+    assert toxicity.score(odd(spark, rows, False), toxicity.train(odd(spark, rows, False), spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")))[0].count() == 301

@@ -145,7 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     pool = base.select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(draw).limit(max_pool).select("doc_id", F.lit(-1.0).alias("y"))
     # The sample's ids are bounded by parameters, whatever the corpus.
     fold = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == CALIBRATION_FOLD).alias("fold")
-    rows = base.join(F.broadcast(labelled.unionByName(pool)), "doc_id").select("doc_id", "y", fold, "text", "lang", "source", "n_chars").repartition(16)
+    # An id that repeats brings one row, so what comes to the driver is bounded as the ids are.
+    once = base.join(F.broadcast(labelled.unionByName(pool)), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    rows = once.select("doc_id", "y", fold, "r.text", "r.lang", "r.source", "r.n_chars").repartition(16)
 
     def views(batches):
         for batch in batches:
@@ -153,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             lists = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("fold"), pack(text_view(batch.column("text"))), pack(meta_view(*lists))], names=["doc_id", "y", "fold", "t", "m"])
 
-    found = rows.mapInArrow(views, "doc_id long, y double, fold boolean, t binary, m binary").orderBy("doc_id", "t", "m").collect()
+    found = rows.mapInArrow(views, "doc_id long, y double, fold boolean, t binary, m binary").collect()
+    found = sorted(found, key=lambda r: r["doc_id"])
     stack = lambda k, some: np.frombuffer(b"".join(bytes(r[k]) for r in some), np.float32).reshape(len(some), -1)
     known_rows, pool_rows = [r for r in found if r["y"] >= 0], [r for r in found if r["y"] < 0]
     if not known_rows:

@@ -193,6 +193,9 @@ class Damaged(ValueError):
     pass
 
 
+MAX_PIXELS = 1 << 24  # of a screen or a frame; a header that asks for more is damaged, whatever the bytes after it
+
+
 def decode(data: bytes) -> Iterator[Frame]:
     """Composed frames; raises Damaged where the bytes stop making sense."""
     try:
@@ -220,6 +223,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
         if shared is None:
             raise Damaged("truncated palette")
         at += 3 * size
+    if wide * high > MAX_PIXELS:
+        raise Damaged("too many pixels")
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay = disposal = index = clock = 0
     clear_index = -1
@@ -234,6 +239,8 @@ def _decode(data: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise Damaged("unknown block")
         left, top, w, h, local = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MAX_PIXELS:
+            raise Damaged("too many pixels")
         at, palette = at + 10, shared
         if local & 0x80:
             size = 2 << (local & 7)
@@ -268,7 +275,7 @@ def _decode(data: bytes) -> Iterator[Frame]:
             area.view(np.uint32)[..., 0] = colours
         else:
             np.copyto(area.view(np.uint32)[..., 0], colours, where=seen != clear_index)
-        yield Frame(index, clock, delay * 10, disposal, (left, top, w, h), samples, canvas.copy() if disposal > 1 else canvas)
+        yield Frame(index, clock, delay * 10, disposal, (left, top, w, h), samples, canvas.copy())
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
@@ -298,7 +305,8 @@ FRAMES = T.StructType([T.StructField(n, t) for n, t in (
 def gif_frames(media: DataFrame, id_col: str = "id", media_col: str = "media", pixels: bool = True) -> DataFrame:
     """One row (id, frame, start_ms, delay_ms, disposal, width, height, rgba, histogram, error) for each composed frame.
 
-    Media without a readable frame give one row whose ``error`` is set and whose other columns are null.
+    Media without a readable frame, and those damaged after some frames, give a row whose ``error`` is set and whose other
+    columns are null; so do screens and frames of more than ``MAX_PIXELS`` pixels.
     """
     base = pick(media, id=id_col, media=media_col)
     schema = T.StructType([base.schema["id"], *FRAMES.fields])
@@ -306,19 +314,19 @@ def gif_frames(media: DataFrame, id_col: str = "id", media_col: str = "media", p
     def run(batches):
         for batch in batches:
             for key, blob in zip(batch.column("id"), batch.column("media")):
-                rows, error, raw = [], None, blob.as_py()
+                raw = blob.as_py()
                 try:
                     if not raw:
                         raise Damaged("empty")
-                    for f in decode(raw):
+                    for f in decode(raw):  # a frame at a time: a medium may have many
                         h, w = f.rgba.shape[:2]
-                        rows.append([f.index, f.start_ms, f.delay_ms, f.disposal, w, h, f.rgba.tobytes() if pixels else None, histogram(f.rgba), None])
+                        yield row(key, [f.index, f.start_ms, f.delay_ms, f.disposal, w, h, f.rgba.tobytes() if pixels else None, histogram(f.rgba), None])
                 except Damaged as damage:
-                    error = str(damage)
-                if error:
-                    rows.append([None] * 8 + [error])
-                arrow = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()))]
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), batch.schema.field("id").type), *arrow], names=["id", *FRAMES.names])
+                    yield row(key, [None] * 8 + [str(damage)])
+
+    def row(key: pa.Scalar, values: list) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), *(pa.array([v], t) for v, t in zip(values, types))], names=["id", *FRAMES.names])
 
     return base.mapInArrow(run, schema)
 

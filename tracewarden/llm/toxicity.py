@@ -15,7 +15,7 @@ letters, digits and non-ASCII characters); the ``max_features`` that the positiv
 scoring covers every whole text. Labels, languages, sources and ids are never features.
 
 Edge cases: null and empty texts have no features and get the score of that; null ids are never training rows; a
-label row that repeats counts once; without positives every score is the prior (0 when unknown).
+label row that repeats counts once, as does an id that repeats (its least text); without positives every score is the prior (0 when unknown).
 """
 
 from __future__ import annotations
@@ -104,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     unlabelled = base.select("doc_id").distinct().orderBy(draw).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
     # At most max_positives + max_unlabelled ids: their size is bounded by parameters, whatever the corpus.
     sample = F.broadcast(positive.unionByName(unlabelled))
-    rows = cut(base.join(sample, "doc_id").select("positive", "text").dropDuplicates().repartition(16), "toxicity-sample")
+    # An id that repeats brings one text, so the rows are bounded as the ids are.
+    once = base.join(sample, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    rows = cut(once.select("positive", "text").dropDuplicates().repartition(16), "toxicity-sample")
     sizes = dict(rows.groupBy("positive").count().collect())
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     none = Model(np.zeros(0, U64), np.zeros(0), float(np.log(prior / (1 - prior))) if prior and prior < 1 else (30.0 if prior else -30.0))
@@ -140,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
                 bits[piece.first + doc[hit], at[hit]] = True
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["positive", "bits"])
 
-    packed = rows.mapInArrow(matrix, "positive boolean, bits binary").orderBy("positive", "bits").collect()  # bounded by the sample
-    side = lambda positive: np.unpackbits(np.frombuffer(b"".join(bytes(b) for p, b in packed if p == positive), np.uint8).reshape(-1, -(-len(table) // 8)), axis=1)[:, : len(table)].astype(np.float32)
+    packed = sorted((p, bytes(b)) for p, b in rows.mapInArrow(matrix, "positive boolean, bits binary").collect())  # bounded by the sample
+    side = lambda positive: np.unpackbits(np.frombuffer(b"".join(b for p, b in packed if p == positive), np.uint8).reshape(-1, -(-len(table) // 8)), axis=1)[:, : len(table)].astype(np.float32)
     weights, bias = fit_nnpu(side(True), side(False), prior)
     return Model(table, weights.astype(float), bias)
 
