@@ -11,8 +11,8 @@ ANCHORS = "struct<anchors:array<struct<field_name:string,source_text:string,conf
 
 def json_object(raw: Column) -> Column:
     """The text of the JSON object in an answer: the whole of it, a fenced block, or from the first to the last brace; else null."""
-    body = F.trim(F.coalesce(raw, F.lit("")))
-    fenced = F.trim(F.regexp_extract(body, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    body = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
+    fenced = F.regexp_extract(body, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
     return F.coalesce(*[F.when(x.startswith("{") & F.from_json(x, "map<string,string>").isNotNull() & F.get_json_object(x, "$").isNotNull(), x) for x in (body, fenced, braces)])
 

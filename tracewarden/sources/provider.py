@@ -50,7 +50,7 @@ def generate(prompts: DataFrame, call: Callable[[list[str]], list[str]], prompt:
 
 def canned(prompts: DataFrame, answers: DataFrame, key: list[str]) -> DataFrame:
     """The same from a table of answers (key.., answer): for tests and replays."""
-    rows = blocked_prompts(prompts).join(answers.select(*key, F.col("answer").alias("_a")), key, "left")
+    rows = blocked_prompts(prompts, "prompt").join(answers.select(*key, F.col("answer").alias("_a")), key, "left")
     return rows.withColumn("answer", F.when(F.size("blocked") == 0, F.col("_a"))).drop("_a")
 
 
