@@ -187,7 +187,7 @@ def local_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     negatives = F.when(F.col("bad"), F.array("p_name")).otherwise(F.array().cast("array<string>"))
     none = F.array().cast("array<string>")
     points = kb.local_score(F.col("q"), fields, none, F.array("p_type"), negatives)
-    scored = kinds.join(F.broadcast(asked) if asked.limit(5_001).count() <= 5_000 else asked, points > 0).select("q", points.alias("score"), F.explode("ids").alias("p_partkey"))
+    scored = kinds.join(F.broadcast(asked) if asked.limit(5_001).count() <= 5_000 else asked, points > 0).select("q", F.round(points, 9).alias("score"), F.explode("ids").alias("p_partkey"))
     best = kb.local_matches(scored, "q", "p_partkey").withColumn("sub_scene", kb.sub_scene(F.col("q")))
     told = kb.classify(asked, best, "q", "p_partkey")
     return best.join(told.select("q", "match_count"), "q").select("q", "p_partkey", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "match_count", "sub_scene")
@@ -206,8 +206,8 @@ LOCAL_MATCHES = f"""
 with a as (select q, {_tokens_sql('q')} as qt from (select distinct lower(p_name) as q from part)),
 r as (select p_partkey, p_size = 1 as bad, lower(p_name) as n, lower(p_type) as t, lower(p_brand) as b from part), k as (select distinct bad, n, t, b from r),
 g as (select *, {_tokens_sql('n')} as n_t, {_tokens_sql('t')} as t_t, {_tokens_sql('b')} as b_t from k),
-s as (select q, bad, n, t, b, 3.0 * {_match_sql('n')} + 2.0 * {_match_sql('t')} + 0.5 * {_match_sql('b')} + 1.5 * {_match_sql('t')} + 2.0 * {_match_sql('t')} - case when bad and {_match_sql('n')} >= 1.5 then 12 else 0 end as score from a, g),
-j as (select q, p_partkey, score from s join r on r.bad = s.bad and r.n = s.n and r.t = s.t and r.b = s.b where score > 0),
+s as (select q, bad, n, t, b, 3.0 * {_match_sql('n')} + 2.0 * {_match_sql('t')} + 0.5 * {_match_sql('b')} + 1.5 * {_match_sql('t')} + 2.0 * {_match_sql('t')} - case when bad and {_match_sql('n')} >= 1.5 then 12 else 0 end as raw from a, g),
+j as (select q, p_partkey, round(raw, 9) as score from s join r on r.bad = s.bad and r.n = s.n and r.t = s.t and r.b = s.b where raw > 0),
 o as (select *, row_number() over (partition by q order by score desc, p_partkey) as rank, count(*) over (partition by q) as c from j)
 select q, p_partkey, round(score, 6) as score, rank, least(c, 5) as match_count, 'confidential_general' as sub_scene from o where rank <= 5
 """
@@ -322,7 +322,8 @@ def field_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = docs.select("doc_id", F.lit("canonical").alias("kind"), F.col("value").alias("term"))
     al = retrieve.alias_scores(asked, own, "query_id", "doc_id").select("query_id", "doc_id", "alias")
     rows = bm.join(ng, ["query_id", "doc_id"], "full").join(al, ["query_id", "doc_id"], "full").fillna(0.0, ["bm25", "ngram", "alias"]).join(docs.select("doc_id", "field_name", "value"), "doc_id").join(asked, "query_id")
-    rows = rows.withColumn("score", retrieve.fuse(F.col("bm25"), F.col("ngram"), F.col("alias"), retrieve.field_hint(F.col("text"), F.col("field_name"), {"p_name": ["版本", "漏洞"]})))
+    fused = retrieve.fuse(F.col("bm25"), F.col("ngram"), F.col("alias"), retrieve.field_hint(F.col("text"), F.col("field_name"), {"p_name": ["版本", "漏洞"]}))
+    rows = rows.withColumn("score", F.round(fused, 9))  # sums of floats differ in their last digits by the order of addition
     ranked = retrieve.cut_top(rows, "query_id", "field_name", "doc_id", per_field=2, top=5)
     told = retrieve.stats(ranked, "query_id")
     return ranked.join(told, "query_id").select("query_id", "field_name", "value", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"), "candidates", F.round("max_score", 5).alias("max_score"), F.array_join("top_fields", ",").alias("top_fields"))
@@ -338,7 +339,7 @@ q as (select distinct query_id, unnest(list_concat({_WT}, ['版本', '漏洞']))
 bm as (select query_id, doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avgdl))) as s from q join df using (t) join tf using (t), st group by 1, 2),
 w as (select query_id, sum(coalesce(idf, 0.1)) as whole from q left join df using (t) group by 1), ng as (select query_id, doc_id, sum(idf) / any_value(whole) as s from q join df using (t) join tf using (t) join w using (query_id) group by 1, 2),
 al as (select query_id, doc_id, 3.5 as s from q0 join d on contains(q0.x, lower(d.v))),
-a as (select query_id, doc_id, f, v, 0.45 * coalesce(al.s / (al.s + 1), 0) + 0.30 * coalesce(bm.s / (bm.s + 1), 0) + 0.20 * coalesce(ng.s, 0) + case when f = 'p_name' then 0.05 else 0 end as score
+a as (select query_id, doc_id, f, v, round(0.45 * coalesce(al.s / (al.s + 1), 0) + 0.30 * coalesce(bm.s / (bm.s + 1), 0) + 0.20 * coalesce(ng.s, 0) + case when f = 'p_name' then 0.05 else 0 end, 9) as score
   from bm full join ng using (query_id, doc_id) full join al using (query_id, doc_id) join d using (doc_id)),
 r as (select *, row_number() over (partition by query_id, f order by score desc, doc_id) as k from a where score >= 0.08), z as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r where k <= 2),
 y as (select * from z where rank <= 5), fc as (select query_id, f, count(*) as n from y group by 1, 2),
