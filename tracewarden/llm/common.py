@@ -51,9 +51,15 @@ def untagged(df: DataFrame, names: list[tuple[str, str]], *added: str) -> DataFr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset on a single machine.
+
+    A cluster without that setting is an error: a folder of one machine is no place for tables that executors read.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewarden-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
