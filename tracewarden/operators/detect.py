@@ -139,6 +139,7 @@ def leak_findings(leaks: DataFrame, texts: DataFrame, pool_long: DataFrame, name
     A fact is matched by the fields whose value the answer contains (weak values don't count), else through a leaked
     term that some value of it contains; facts that ``existing`` (turn_id, target_id) direct findings cover are left
     out. A turn whose leaks match no fact, and that no existing finding covers, has one finding without a target.
+    ``matched_by`` says which: value, term or none.
     """
     strong = pool_long.filter(F.col("field_name").isin(fields) & ~weak_value(F.col("field_name"), F.col("value")) & (F.trim("value") != ""))
     folded = strong.select("fact_id", "field_name", normalize_match(F.col("value")).alias("_fold")).filter("_fold <> ''")
@@ -151,10 +152,10 @@ def leak_findings(leaks: DataFrame, texts: DataFrame, pool_long: DataFrame, name
     named = direct.groupBy(key, "fact_id").agg(F.array_sort(F.collect_set("field_name")).alias("restored_fields"))
     loose = inside.join(named, [key, "fact_id"], "left_anti").withColumn("restored_fields", F.array_sort(F.array(*map(F.lit, policy.protected or ["secret_content"]))))
     known = existing.select(key, F.col("target_id").alias("fact_id")).distinct().withColumn("_known", F.lit(True))
-    matched = named.unionByName(loose).join(known, [key, "fact_id"], "left")
-    fresh = matched.filter("_known is null").join(names, "fact_id", "left").select(key, F.col("fact_id").alias("target_id"), "target_name", "restored_fields")
+    matched = named.withColumn("matched_by", F.lit("value")).unionByName(loose.withColumn("matched_by", F.lit("term"))).join(known, [key, "fact_id"], "left")
+    fresh = matched.filter("_known is null").join(names, "fact_id", "left").select(key, F.col("fact_id").alias("target_id"), "target_name", "restored_fields", "matched_by")
     rest = turns.join(matched.select(key).distinct(), key, "left_anti")
-    bare = rest.select(key, F.lit(None).cast(pool_long.schema["fact_id"].dataType).alias("target_id"), F.lit("confidential_fact").alias("target_name"), F.array(*map(F.lit, policy.protected)).cast("array<string>").alias("restored_fields"))
+    bare = rest.select(key, F.lit(None).cast(pool_long.schema["fact_id"].dataType).alias("target_id"), F.lit("confidential_fact").alias("target_name"), F.array(*map(F.lit, policy.protected)).cast("array<string>").alias("restored_fields"), F.lit("none").alias("matched_by"))
     out = fresh.unionByName(bare)
     return out.select(
         "*", F.lit("direct_protected_disclosure").alias("finding_type"), F.lit("CRITICAL").alias("risk_level"), score.direct_score(F.lit(1), F.size("restored_fields"), policy.uniqueness_k, policy.weights or None).alias("score"),
