@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import llm_json, terms
 from ..functions.text import word_tokens
 from ..operators import detect, kb, match, render, respond, retrieve, route
 from ..sources import convert, ingest, provider, trace
+from ..storage import cut
 from .engine import POOL_SQL, pool
 from .tables import table
 
@@ -181,13 +182,21 @@ def local_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct names of parts as questions against all parts as confidential records; the size-1 parts' types are negative samples."""
     part = table(spark, sf_dir, "part")
     asked = part.select(F.lower("p_name").alias("q")).distinct()
-    fields = {name: F.col(column) for name, column in LOCAL_FIELDS.items()}
-    # Records with the same texts have the same points: they are scored once.
-    kinds = part.groupBy("p_name", "p_type", "p_brand", (F.col("p_size") == 1).alias("bad")).agg(F.collect_list("p_partkey").alias("ids"))
-    negatives = F.when(F.col("bad"), F.array("p_name")).otherwise(F.array().cast("array<string>"))
-    none = F.array().cast("array<string>")
-    points = kb.local_score(F.col("q"), fields, none, F.array("p_type"), negatives)
-    scored = kinds.join(F.broadcast(asked) if asked.limit(5_001).count() <= 5_000 else asked, points > 0).select("q", F.round(points, 9).alias("score"), F.explode("ids").alias("p_partkey"))
+    # Records with the same texts have the same points: they are scored once, and of each such kind no more than the least
+    # ids can be among the best; each value is matched once.
+    same = ["p_name", "p_type", "p_brand", "bad"]
+    least = part.withColumn("bad", F.col("p_size") == 1).withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy("p_partkey"))).filter(F.col("_n") <= kb.LOCAL_TOP)
+    kinds = least.groupBy(*same).agg(F.min("p_partkey").alias("first"), F.collect_list("p_partkey").alias("ids"))
+    plain = {column: terms.normalize_plain(F.col(column)) for column in LOCAL_FIELDS.values()}
+    points = cut(kb.value_scores(asked, part.select(F.explode(F.array(*plain.values())).alias("value"))))
+    sides = {c: points.select(F.col("q").alias(f"q_{c}"), F.col("value").alias(f"v_{c}"), F.col("points").alias(f"x_{c}")) for c in plain}
+    rows = kinds.join(F.broadcast(asked) if asked.limit(5_001).count() <= 5_000 else asked)
+    for c, side in sides.items():
+        rows = rows.join(side, (F.col("q") == F.col(f"q_{c}")) & (plain[c] == F.col(f"v_{c}")), "left").drop(f"q_{c}", f"v_{c}")
+    at = {c: F.coalesce(f"x_{c}", F.lit(0.0)) for c in plain}
+    none = F.array().cast("array<double>")
+    score = kb.local_points({name: at[c] for name, c in LOCAL_FIELDS.items()}, none, F.array(at["p_type"]), F.when(F.col("bad"), F.array(at["p_name"])).otherwise(none))
+    scored = kb.local_matches(rows.select("q", F.round(score, 9).alias("score"), "first", "ids"), "q", "first").select("q", "score", F.explode("ids").alias("p_partkey"))
     best = kb.local_matches(scored, "q", "p_partkey").withColumn("sub_scene", kb.sub_scene(F.col("q")))
     told = kb.classify(asked, best, "q", "p_partkey")
     return best.join(told.select("q", "match_count"), "q").select("q", "p_partkey", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "match_count", "sub_scene")
