@@ -248,6 +248,44 @@ def test_passages_of_a_list_whose_lead_shares_another(spark):
     assert (1, 0) in got and got & {(1, 2), (2, 1)}
 
 
+def test_passages_of_many_are_linked_in_proportion(spark):
+    """A passage that many texts hold makes a few links a text, not one for each pair; all are one class, and so is a text that only a settled member is like."""
+    import random
+
+    rng = random.Random(5)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    n, p = 60, own(52)
+    texts = []
+    for i in range(n):
+        mine = list(p)
+        if i % 3:
+            mine[rng.randrange(8, 44)] = f"edit{i}"
+        texts.append([*own(rng.randrange(5, 60)), *mine, *own(rng.randrange(5, 60))])
+    rows = [(i, " ".join(v), "en", "a", 1) for i, v in enumerate(texts)]
+    links = {(r.doc_id, r.keeper_id) for r in passages.shared_passages(odd(spark, rows, False)).collect() if not r.is_keeper}
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(set(root[i] for i in range(0, n, 3))) == 1
+    assert len(links) <= 4 * n
+
+
+def test_members_of_a_list_are_joined_beyond_its_lead():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    own = lambda k: rng.integers(0, 1 << 32, k)
+    left, key, right = own(30), own(16), own(30)
+    around = [[left, key, own(30)], [own(30), key, own(30)], [left, key, right], [own(30), key, right], [own(30), key, right]]
+    near = [np.concatenate(v).astype(np.uint32).tobytes() for v in around]
+    node, start, end = np.arange(5), np.full(5, 30), np.full(5, 45)
+    got = passages.bridges(node, start, end, near, np.array([False, True, False, True, True]), 50, 0.8, 12)
+    found = {(r["node"], r["lead"]): (r["start"], r["end"], r["lead_start"], r["lead_end"]) for r in got}
+    assert len(found) == 2 and {(3, 2)} < set(found) | {(4, 2)} and {n for pair in found for n in pair} == {2, 3, 4}
+    assert all(v == (30, 80, 30, 80) for v in found.values())
+
+
 def test_models(spark):
     for rows in (labels(spark), labels(spark).filter("false"), labels(spark).filter("toxic = 1")):
         model = toxicity.train(odd(spark), rows)

@@ -13,9 +13,11 @@ about 0.98 (measured in tests/llm); longer ones meet more keys.
 Documents that share a key are candidates. Each is aligned with the list's lead: runs of shared shingles (gaps of up
 to ``gap`` words) are kept when they cover ``min_words`` words in both documents and their shingle sets have a Jaccard
 similarity of at least ``similarity``; a run that does not is split at its widest gap. A new run also reaches back along
-its own diagonal, and equal passages are looked up whole, as the lead may hold their parts in other places too. Documents that do not align
-with the lead over the key's own interval go on to the next round under a new lead, until none is left, so a list of m
-members costs about m alignments; only the short lists that are left after some rounds try all pairs. Equal word sequences are one node; copies are spelled out in the result only.
+its own diagonal, and equal passages are looked up whole, as the lead may hold their parts in other places too. Documents
+that align with the lead where the key's shingles are make one class with it. For the others the list is dealt out once
+more with the shingles around the key: all members that share enough of them are compared there in memory, open ones
+with settled ones too, until what shares a passage there is one class; only the links that join classes are aligned on
+whole texts, fewer than the list has members. Equal word sequences are one node; copies are spelled out in the result only.
 
 A first pass over the corpus finds the keys that two texts have (packed arrays, merged by key); a second one emits the rows of those alone.
 
@@ -34,13 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, lean, lookup, pick, release, small_batches
-from .idfilter import wanted_cells
+from .idfilter import keep_wanted, wanted_cells
 from .sharing import shared_keys
 from .textnp import U64, mix, ngrams, pieces
 
 SHINGLE, MIN_WORDS, SIMILARITY, GAP = 5, 50, 0.8, 12
 HASHES, BESIDE = 4, 2  # hash functions that anchor keys; further minima in a key, from one half of the anchor's interval
-TURNS, SMALL = 2, 12  # after so many rounds, lists of so few rows try all their pairs at once; twice as many after each further round
+LEAST = 0.8  # of the shingles of ``min_words`` words, which members of a list must share around its key to be aligned there
+PART_ROWS, LEAST_PARTS = 50_000, 32  # of lists that one task holds in memory
+BLOCK, CELLS = 256, 1 << 23  # open members that meet all others at once; cells of a table of members and shingles
 SEEDS = [U64((0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1)) for i in range(HASHES)]
 PLACE_BITS = 24  # of a hash, when minima are taken with their places; more for a single text of more words
 
@@ -69,14 +73,19 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each run of ``width`` values."""
+    bits = max(PLACE_BITS, len(values).bit_length())
+    low = (U64(1) << U64(bits)) - U64(1)
+    return (sliding_min(values & ~low | np.arange(len(values), dtype=U64), width) & low).astype(np.int64)
+
+
 def anchored(values: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(c, first, last) of the compact windows met by the runs of t values that begin at ``starts``.
 
     c is the window's minimum; first and last bound the runs of t that hold it as theirs (last: inclusive end).
     """
-    bits = max(PLACE_BITS, len(values).bit_length())
-    low = (U64(1) << U64(bits)) - U64(1)
-    c = (sliding_min(values & ~low | np.arange(len(values), dtype=U64), t) & low).astype(np.int64)[starts]
+    c = lowest(values, t)[starts]
     if not len(c):
         return c, c, c
     new = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (np.diff(starts) != 1)])
@@ -84,7 +93,10 @@ def anchored(values: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray
 
 
 def window_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, t: int) -> np.ndarray:
-    """Rows (key, document, start, end) for the shingles ``begin:end`` of each document; start and end count from its begin."""
+    """Rows (key, document, start, end) for the shingles ``begin:end`` of each document.
+
+    start and end are the first and last of the key's three shingles, counted from the document's begin.
+    """
     long = np.flatnonzero(end - begin >= t)
     edge = np.zeros(len(grams) + 1, np.int64)
     np.add.at(edge, begin[long], 1)
@@ -94,20 +106,22 @@ def window_keys(grams: np.ndarray, begin: np.ndarray, end: np.ndarray, t: int) -
         return np.zeros((0, 4), np.int64)
     half, rows = t // 2, []
     hashes = [mix(grams ^ seed) for seed in SEEDS]
-    near = [sliding_min(h, half) for h in hashes]
+    near = [lowest(h, half) for h in hashes]
     for f, h in enumerate(hashes):
         c, first, last = anchored(h, starts, t)
         for side, at in enumerate((c - half + 1, c)):
             ok = (at >= first) & (at + half - 1 <= last)
-            place = at[ok]
-            key = h[c[ok]] * U64(0x9DDFEA08EB382D69) + U64(2 * f + side)
+            place, low, high = at[ok], c[ok], c[ok]
+            key = h[low] * U64(0x9DDFEA08EB382D69) + U64(2 * f + side)
             for k in range(1, BESIDE + 1):
-                key = mix(key ^ near[(f + k) % HASHES][place] * U64(0xC2B2AE3D27D4EB4F + 2 * k))
+                beside = near[(f + k) % HASHES][place]
+                key = mix(key ^ hashes[(f + k) % HASHES][beside] * U64(0xC2B2AE3D27D4EB4F + 2 * k))
+                low, high = np.minimum(low, beside), np.maximum(high, beside)
             # A text of one word has the same key at every place: one row stands for neighbours with one key.
             fresh = np.r_[True, (key[1:] != key[:-1]) | (np.diff(place) != 1)][: len(key)]
-            key, place = key[fresh], place[fresh]
+            key, place, low, high = key[fresh], place[fresh], low[fresh], high[fresh]
             doc = long[np.searchsorted(begin[long], place, "right") - 1]
-            rows.append(np.stack([key.view(np.int64), doc, place - begin[doc], place - begin[doc] + half - 1], 1))
+            rows.append(np.stack([key.view(np.int64), doc, low - begin[doc], high - begin[doc]], 1))
     return np.concatenate(rows)
 
 
@@ -226,6 +240,122 @@ def _exact(x: np.ndarray, y: np.ndarray, at: np.ndarray, known: list, min_words:
     return out
 
 
+def around_key(start: np.ndarray, end: np.ndarray, size: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the shingles of all runs of t that hold a key's shingles start to end, in documents of so many shingles."""
+    return np.maximum(0, end - t + 1), np.minimum(size, start + t)
+
+
+def bridges(node: np.ndarray, start: np.ndarray, end: np.ndarray, near: list[bytes], open_: np.ndarray, min_words: int, similarity: float, gap: int) -> list[dict]:
+    """Passages around one key that join its members to classes; those not ``open_`` are one class from the start.
+
+    ``near`` has the shingles that ``around_key`` bounds (32 bits each). Members meet in the order of the shingles they share, most
+    first, until no two classes are left of which two members share a passage there; members that share less than
+    ``LEAST`` of its shingles cannot. An open member that joins none has a row without a passage, for the one it is most
+    like: their whole texts may still align, where only the surroundings of this key differ more.
+    """
+    t = min_words - SHINGLE + 1
+    texts = [np.frombuffer(x, np.uint32).astype(U64) for x in near]
+    label = np.where(open_, np.arange(len(node)), -1)
+    lead, out, failed, linked, best = node.min(), [], set(), set(), {}
+    for i, j, likely in _overlaps(texts, node, open_, lead, t, similarity, label):
+        if label[i] == label[j]:
+            continue
+        for k, other in ((i, j), (j, i)):
+            if open_[k]:
+                best.setdefault(k, other)
+        if not likely:
+            continue
+        x, y = (i, j) if node[i] > node[j] else (j, i)
+        if (near[x], near[y]) in failed:
+            continue
+        spans = align(texts[x], texts[y], min_words, similarity, gap)
+        lo, there = [max(0, int(end[k]) - t + 1) for k in (x, y)], [(int(start[k]), int(end[k])) for k in (x, y)]
+        held = [s for s in spans if s[0] + lo[0] <= there[0][0] and there[0][1] < s[1] + lo[0] and s[2] + lo[1] <= there[1][0] and there[1][1] < s[3] + lo[1]]
+        if not held:
+            failed.add((near[x], near[y]))
+            continue
+        s = max(held, key=lambda s: (s[1] - s[0], s[4]))
+        label[label == label[j]] = label[i]
+        linked |= {i, j}
+        out.append({"node": int(node[x]), "lead": int(node[y]), "start": s[0] + lo[0], "end": s[1] + lo[0], "lead_start": s[2] + lo[1], "lead_end": s[3] + lo[1], "similarity": float(s[4]), "first": there[0][0], "last": there[0][1]})
+    pairs = {(max(a, b), min(a, b)) for a, b in ((int(node[k]), int(node[other])) for k, other in best.items() if k not in linked)}
+    return out + [{"node": a, "lead": b} for a, b in sorted(pairs)]
+
+
+def _overlaps(texts: list[np.ndarray], node: np.ndarray, open_: np.ndarray, lead: int, t: int, similarity: float, label: np.ndarray):
+    """(open member, other member, whether they may share a passage): pairs of different nodes, but not of the lead, that
+    share at least ``LEAST`` of t shingles and have not one label by then, most first in each block."""
+    least = LEAST * t
+    sizes = np.array([len(x) for x in texts])
+    who, values = np.repeat(np.arange(len(texts)), sizes), np.concatenate(texts)
+    # A shingle's repetitions count as many.
+    order = np.lexsort((values, who))
+    who, values = who[order], values[order]
+    fresh = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (values[1:] != values[:-1])])
+    turn = np.arange(len(values)) - np.repeat(fresh, np.diff(np.r_[fresh, len(values)]))
+    _, column, count = np.unique(values | turn.astype(U64) << U64(32), return_inverse=True, return_counts=True)
+    # What most members have tells none of them apart: the others must share the rest of what is asked for.
+    common = count > len(texts) // 2
+    need = least - common.sum()
+    rare = (count > 1) & ~common
+    usable = np.ones(len(texts), bool) if need <= 0 else np.bincount(who[rare[column]], minlength=len(texts)) >= need
+    rest = np.flatnonzero(usable & (node != lead))
+    mine = rest[open_[rest]]
+    if len(rest) < 2 or not len(mine):
+        return
+    # Columns by their members only, so that memory goes by the block.
+    row_at = np.full(len(texts), -1)
+    row_at[rest] = np.arange(len(rest))
+    at = (row_at[who] >= 0) & (count[column] > 1)
+    who, column = row_at[who[at]], column[at]
+    kept, column = np.unique(column, return_inverse=True)
+    spots = (order - np.repeat(np.cumsum(sizes) - sizes, sizes))[at]
+    repeats = np.zeros(len(texts), bool)
+    repeats[np.repeat(np.arange(len(texts)), sizes)[turn > 0]] = True
+    repeats = repeats[rest]
+    cells = None
+    if len(rest) * (len(kept) + 1) <= 64 * CELLS:
+        cells, places = np.zeros((len(rest), len(kept) + 1), bool), np.full((len(rest), sizes.max()), len(kept))
+        cells[who, column] = True
+        places[who, spots] = column
+    for first in range(0, len(mine), BLOCK):
+        block = row_at[mine[first : first + BLOCK]]
+        shared = np.zeros((len(block), len(rest)), np.float32)
+        width = max(256, CELLS // len(rest))
+        for low in range(0, len(kept), width):
+            part = (column >= low) & (column < low + width)
+            table = np.zeros((len(rest), min(width, len(kept) - low)), np.float32)
+            table[who[part], column[part] - low] = 1
+            shared += table[block] @ table.T
+        i, j = np.nonzero(shared >= least)
+        a, b = rest[block[i]], rest[j]
+        ok = (node[a] != node[b]) & (~open_[b] | (a < b))
+        a, b, score = a[ok], b[ok], shared[i, j][ok]
+        order = np.argsort(-score, kind="stable")
+        a, b = a[order], b[order]
+        for low in range(0, len(a), BLOCK):
+            i, j = a[low : low + BLOCK], b[low : low + BLOCK]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            likely = np.ones(len(i), bool)
+            if cells is not None and len(i):
+                p, q = row_at[i], row_at[j]
+                ours, theirs = (_densest(cells[v[:, None], places[u]], t) for u, v in ((p, q), (q, p)))
+                # Of shares x and y of two sets that are common, the Jaccard similarity is 1 / (1 / x + 1 / y - 1).
+                likely = repeats[p] | repeats[q] | (1 / ours + 1 / theirs - 1 <= 1 / similarity + 1e-6)
+            yield from zip(i.tolist(), j.tolist(), likely.tolist())
+
+
+def _densest(held: np.ndarray, t: int) -> np.ndarray:
+    """The greatest share of true cells in a run of t or more of each row (of a thousandth at least)."""
+    sums = np.zeros((len(held), held.shape[1] + 1), np.int16)
+    np.cumsum(held, 1, out=sums[:, 1:])
+    best = np.full(len(held), 0.001)
+    for width in range(t, held.shape[1] + 1):
+        np.maximum(best, (sums[:, width:] - sums[:, :-width]).max(1) / width, out=best)
+    return best
+
+
 SPANS = "array<struct<start:long,end:long,lead_start:long,lead_end:long,similarity:double>>"
 
 
@@ -267,36 +397,24 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     release(lists)
     texts = _texts(base, open_.select("node").distinct(), members)
 
-    found, tried, turn = None, None, 0
-    while True:
-        leads = open_.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high"), F.count("*").alias("size")).filter("lead < high")
-        leads = cut(leads.select("key", "lead", (F.lit(turn >= TURNS) & (F.col("size") <= SMALL << max(0, turn - TURNS))).alias("all")), "leads")
-        led = open_.join(leads, "key")
-        paired = led.filter("node != lead and not all")
-        pairs = paired.select("node", "lead")
-        if turn >= TURNS:
-            each = led.filter("all").select("key", "node").distinct()
-            pairs = pairs.unionByName(each.join(each.withColumnRenamed("node", "lead"), "key").filter("lead < node").select("node", "lead"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "lead"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        spans = _aligned(pairs, texts, min_words, similarity, gap)
-        found = spans if found is None else found.unionByName(spans)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        # A key is settled for the nodes that align with its lead where the key's shingles are; the lead itself has met all others.
-        settled = found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
-        there = (F.col("p.node") == F.col("s.node")) & (F.col("p.lead") == F.col("s.lead")) & (F.col("from") <= F.col("start")) & (F.col("end") < F.col("to"))
-        left = cut(paired.alias("p").join(settled.alias("s"), there, "left_anti").select("key", "node", "start", "end"), "open")
-        turn += 1
-        more = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-        if more.isEmpty():
-            break
-        release(open_, leads)
-        open_ = left
-    release(open_, leads, left, texts)
-
-    spans = cut(found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", "s.*"), "spans")
+    leads = cut(open_.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("high"), F.count("*").alias("size")).filter("lead < high").drop("high"), "leads")
+    paired = cut(open_.join(leads, "key").filter("node != lead"), "paired")
+    release(open_)
+    pairs = cut(paired.select("node", "lead").distinct(), "pairs")
+    found = _aligned(pairs, texts, min_words, similarity, gap)
+    # A key is settled for the nodes that align with its lead where the key's shingles are.
+    settled = found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
+    there = (F.col("p.node") == F.col("s.node")) & (F.col("p.lead") == F.col("s.lead")) & (F.col("from") <= F.col("start")) & (F.col("end") < F.col("to"))
+    left = cut(paired.alias("p").filter("size > 2").join(settled.alias("s"), there, "left_anti").select("key", "node", "start"), "left")
+    local = cut(_bridges(texts, left, leads, min_words, similarity, gap), "bridges")
+    again = cut(local.select("node", "lead").distinct().join(pairs, ["node", "lead"], "left_anti"), "pairs")
+    found = found.unionByName(_aligned(again, texts, min_words, similarity, gap))
+    release(paired, leads, left, texts, pairs, again)
+
+    spans = found.select("node", "lead", F.explode("spans").alias("s")).select("node", "lead", "s.*")
+    # What was seen around a key only stands where the whole texts align otherwise.
+    within = (F.col("b.node") == F.col("s.node")) & (F.col("b.lead") == F.col("s.lead")) & (F.col("s.start") <= F.col("b.first")) & (F.col("b.last") < F.col("s.end"))
+    spans = cut(spans.unionByName(local.filter("start is not null").alias("b").join(spans.alias("s"), within, "left_anti").drop("first", "last").distinct()), "spans")
     reps = members.select(F.col("node").alias("lead"), F.col("rep").alias("keeper_id"))
     led = lookup(spans, reps, ["lead"], "inner")
     docs_of = seen.select("doc_id", "node")
@@ -325,9 +443,66 @@ def _texts(base: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     return cut(texts.dropDuplicates(["node"]), "texts")  # ids that repeat
 
 
+def _bridges(texts: DataFrame, left: DataFrame, leads: DataFrame, min_words: int, similarity: float, gap: int) -> DataFrame:
+    """(node, lead, span, first, last): links that join what a key's list falls into once its lead has met all members.
+
+    ``left``: (key, node, start) of the members that do not align with the lead there. The whole lists of their keys are
+    dealt out, each member with the shingles around the key, so a list is handled in memory by ``bridges``.
+    """
+    t = min_words - SHINGLE + 1
+    lists = cut(left.groupBy("key").agg(F.lit(1)).select("key").join(leads, "key").select("key", "size"), "lists")
+    parts = max(LEAST_PARTS, (lists.agg(F.sum("size")).first()[0] or 0) // PART_ROWS)
+    wanted = wanted_cells(lists, "key")
+
+    def around(batches):
+        for batch in batches:
+            for piece in pieces(batch.column("text"), "space"):
+                begin, end = piece.bounds[:-1], np.maximum(piece.bounds[:-1], piece.bounds[1:] - SHINGLE + 1)
+                grams, nodes = ngrams(piece.words, SHINGLE), _nodes(piece.words, piece.bounds)
+                rows = window_keys(grams, begin, end, t)
+                rows = rows[wanted(rows[:, 0])]
+                lo, hi = around_key(rows[:, 2], rows[:, 3], (end - begin)[rows[:, 1]], t)
+                base = begin[rows[:, 1]]
+                seen = (grams >> U64(32)).astype(np.uint32)
+                near = [seen[i:j].tobytes() for i, j in zip((base + lo).tolist(), (base + hi).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (rows[:, 0], nodes[rows[:, 1]], rows[:, 2], rows[:, 3])] + [pa.array(near, pa.binary())], names=["key", "node", "start", "end", "near"])
+
+    def join(batches):
+        columns = [[], [], [], [], []]
+        for batch in batches:
+            for k in range(4):
+                columns[k].append(batch.column(k).to_numpy(zero_copy_only=False))
+            columns[4] += batch.column(4).to_pylist()
+        if not columns[4]:
+            return
+        key, node, start, end = (np.concatenate(c) for c in columns[:4])
+        mark = np.array([x is None for x in columns[4]])
+        order = np.lexsort((mark, start, node, key))
+        # A mark stands right behind the row that it is about.
+        key, node, start, end, mark, near = key[order], node[order], start[order], end[order], mark[order], [columns[4][i] for i in order.tolist()]
+        edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        out = []
+        for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+            own = lo + np.flatnonzero(~mark[lo:hi])
+            open_ = np.r_[mark[lo + 1 : hi], False][own - lo]
+            if open_.any() and node[own[0]] != node[own[-1]]:
+                out += bridges(node[own], start[own], end[own], [near[i] for i in own.tolist()], open_, min_words, similarity, gap)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    names = ["node", "lead", "start", "end", "lead_start", "lead_end", "similarity", "first", "last"]
+    schema = pa.schema([(n, pa.float64() if n == "similarity" else pa.int64()) for n in names])
+    members = texts.select("text").mapInArrow(lean(around), "key long, node long, start long, end long, near binary")
+    marks = left.select("key", "node", "start", F.lit(0).cast("long").alias("end"), F.lit(None).cast("binary").alias("near"))
+    return members.unionByName(marks).repartition(parts, "key").mapInArrow(lean(join), ", ".join(f"{f.name} {'double' if f.name == 'similarity' else 'long'}" for f in schema))
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float, gap: int) -> DataFrame:
     """(node, lead, spans) of the pairs that share a passage."""
-    sides = pairs.join(texts.withColumnRenamed("text", "x"), "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("y")), "lead")
+    x, y = keep_wanted(texts.withColumnRenamed("text", "x"), pairs, "node"), keep_wanted(texts.toDF("lead", "y"), pairs, "lead")
+    sides = pairs.join(x, "node").join(y, "lead")
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lead_start", pa.int64()), ("lead_end", pa.int64()), ("similarity", pa.float64())]))
