@@ -314,7 +314,7 @@ def _overlaps(texts: list[np.ndarray], node: np.ndarray, open_: np.ndarray, lead
     repeats[np.repeat(np.arange(len(texts)), sizes)[turn > 0]] = True
     repeats = repeats[rest]
     cells = None
-    if len(rest) * (len(kept) + 1) <= 64 * CELLS:
+    if len(rest) * (len(kept) + 1) <= 8 * CELLS:  # else all are aligned
         cells, places = np.zeros((len(rest), len(kept) + 1), bool), np.full((len(rest), sizes.max()), len(kept))
         cells[who, column] = True
         places[who, spots] = column
