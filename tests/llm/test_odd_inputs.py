@@ -286,6 +286,63 @@ def test_members_of_a_list_are_joined_beyond_its_lead():
     assert all(v == (30, 80, 30, 80) for v in found.values())
 
 
+def worn(rng, own, good: int, edits: int):
+    """Two texts whose last ``good`` words differ by one; before them every sixth word differs."""
+    middle, left = own(good), own(6 * edits)
+    other = [w if k % 6 else v for k, (w, v) in enumerate(zip(left.tolist(), own(6 * edits).tolist()))]
+    changed = middle.copy()
+    changed[good // 2 + 10] = own(1)[0]
+    return [*left, *middle], [*other, *changed]
+
+
+def test_part_of_a_run_around_a_key_is_found():
+    """A run that is not alike as a whole is not split where it is alike most."""
+    import numpy as np
+
+    from tracewarden.llm.textnp import ngrams
+
+    rng = np.random.default_rng(11)
+    own = lambda k: rng.integers(0, 1 << 60, k)
+    x, y = worn(rng, own, 64, 5)
+    grams = [ngrams(np.array([*own(9), *v, *own(9)], np.uint64), 5) >> np.uint64(32) for v in (own(94), x, y)]
+    start = np.full(3, 9 + 30 + 17)
+    lo, hi = passages.around_key(start, start + 15, np.array([len(v) for v in grams]), 46)
+    near = [v[a:b].astype(np.uint32).tobytes() for v, a, b in zip(grams, lo, hi)]
+    (link,) = [r for r in passages.bridges(np.arange(3), start, start + 15, near, np.array([False, True, True]), 50, 0.8, 12) if "start" in r]
+    assert (link["node"], link["lead"]) == (2, 1) and (link["start"], link["end"]) == (34, 103) and abs(link["similarity"] - 60 / 70) < 1e-9
+
+
+def test_passages_around_a_key_against_brute_force():
+    import numpy as np
+
+    rng, t, gap, seen = np.random.default_rng(9), 46, 12, []
+    for _ in range(300):
+        x = rng.permutation(1000)[:91]
+        y = [v for v in x.tolist() if rng.random() > rng.choice([0.02, 0.1, 0.2])]
+        for _ in range(int(rng.integers(0, 12))):
+            y.insert(int(rng.integers(0, len(y) + 1)), int(rng.integers(1000, 10**6)))
+        place = {v: k for k, v in enumerate(y)}
+        at = np.array([place.get(v, -1) for v in x.tolist()])
+        spots = np.flatnonzero(at >= 0).tolist()
+        first, last = (min(spots, key=lambda k: abs(k - v)) for v in (40, 55))
+        best = (0, 0)
+        for n, a in enumerate(spots):
+            before = a
+            for m, b in enumerate(spots[n:]):
+                if b - before > gap or b > a and at[b] <= at[before] or abs(at[b] - at[before] - b + before) > gap:
+                    break
+                before = b
+                wide, tall = b - a + 1, int(at[b] - at[a]) + 1
+                if a <= first and last <= b and min(wide, tall) >= t and (score := (m + 1) / (wide + tall - m - 1)) >= 0.8:
+                    best = max(best, (wide, score))
+        one = lambda v: np.array([v])
+        (got,) = passages._around_all(at.astype(np.int32)[None], one(first), one(last), one(at[first]), one(at[last]), t, 0.8, gap)
+        seen.append((bool(got), callable(got)))
+        got = got() if callable(got) else got
+        assert (got[1] - got[0] - 4, got[4]) == best if got else best == (0, 0)
+    assert {(False, False), (True, False), (True, True)} <= set(seen)
+
+
 def test_models(spark):
     for rows in (labels(spark), labels(spark).filter("false"), labels(spark).filter("toxic = 1")):
         model = toxicity.train(odd(spark), rows)

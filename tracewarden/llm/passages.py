@@ -28,6 +28,7 @@ are copies; null ids count as the largest; an empty table gives no rows. Hashes
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -257,34 +258,34 @@ def bridges(node: np.ndarray, start: np.ndarray, end: np.ndarray, near: list[byt
     texts = [np.frombuffer(x, np.uint32).astype(U64) for x in near]
     label = np.where(open_, np.arange(len(node)), -1)
     lead, out, failed, linked, best = node.min(), [], set(), set(), {}
-    for i, j, likely in _overlaps(texts, node, open_, lead, t, similarity, label):
-        if label[i] == label[j]:
+    low = np.maximum(0, end - t + 1)
+    first, last = start - low, end - low
+    for x, y, span in _overlaps(texts, node, first, last, open_, lead, t, similarity, gap, label):
+        if label[x] == label[y]:
             continue
-        for k, other in ((i, j), (j, i)):
+        for k, other in ((x, y), (y, x)):
             if open_[k]:
                 best.setdefault(k, other)
-        if not likely:
+        if span is None and (near[x], near[y]) not in failed:
+            spans = align(texts[x], texts[y], min_words, similarity, gap)
+            held = [s for s in spans if s[0] <= first[x] and last[x] < s[1] and s[2] <= first[y] and last[y] < s[3]]
+            span = max(held, key=lambda s: (s[1] - s[0], s[4]), default=None)
+            if not span:
+                failed.add((near[x], near[y]))
+        if not span:
             continue
-        x, y = (i, j) if node[i] > node[j] else (j, i)
-        if (near[x], near[y]) in failed:
-            continue
-        spans = align(texts[x], texts[y], min_words, similarity, gap)
-        lo, there = [max(0, int(end[k]) - t + 1) for k in (x, y)], [(int(start[k]), int(end[k])) for k in (x, y)]
-        held = [s for s in spans if s[0] + lo[0] <= there[0][0] and there[0][1] < s[1] + lo[0] and s[2] + lo[1] <= there[1][0] and there[1][1] < s[3] + lo[1]]
-        if not held:
-            failed.add((near[x], near[y]))
-            continue
-        s = max(held, key=lambda s: (s[1] - s[0], s[4]))
-        label[label == label[j]] = label[i]
-        linked |= {i, j}
-        out.append({"node": int(node[x]), "lead": int(node[y]), "start": s[0] + lo[0], "end": s[1] + lo[0], "lead_start": s[2] + lo[1], "lead_end": s[3] + lo[1], "similarity": float(s[4]), "first": there[0][0], "last": there[0][1]})
+        label[label == label[y]] = label[x]
+        linked |= {x, y}
+        out.append({"node": int(node[x]), "lead": int(node[y]), "start": int(span[0] + low[x]), "end": int(span[1] + low[x]), "lead_start": int(span[2] + low[y]), "lead_end": int(span[3] + low[y]), "similarity": float(span[4]), "first": int(start[x]), "last": int(end[x])})
     pairs = {(max(a, b), min(a, b)) for a, b in ((int(node[k]), int(node[other])) for k, other in best.items() if k not in linked)}
     return out + [{"node": a, "lead": b} for a, b in sorted(pairs)]
 
 
-def _overlaps(texts: list[np.ndarray], node: np.ndarray, open_: np.ndarray, lead: int, t: int, similarity: float, label: np.ndarray):
-    """(open member, other member, whether they may share a passage): pairs of different nodes, but not of the lead, that
-    share at least ``LEAST`` of t shingles and have not one label by then, most first in each block."""
+def _overlaps(texts: list[np.ndarray], node: np.ndarray, first: np.ndarray, last: np.ndarray, open_: np.ndarray, lead: int, t: int, similarity: float, gap: int, label: np.ndarray):
+    """(x, y, passage) of pairs of different nodes, but not of the lead, one of them open, that share at least ``LEAST`` of
+    t shingles and have not one label by then, most first in each block; x has the greater node. The passage is that of
+    ``_around_all``, empty if there is none, and None for texts that it cannot compare.
+    """
     least = LEAST * t
     sizes = np.array([len(x) for x in texts])
     who, values = np.repeat(np.arange(len(texts)), sizes), np.concatenate(texts)
@@ -312,14 +313,14 @@ def _overlaps(texts: list[np.ndarray], node: np.ndarray, open_: np.ndarray, lead
     spots = (order - np.repeat(np.cumsum(sizes) - sizes, sizes))[at]
     repeats = np.zeros(len(texts), bool)
     repeats[np.repeat(np.arange(len(texts)), sizes)[turn > 0]] = True
-    repeats = repeats[rest]
-    cells = None
-    if len(rest) * (len(kept) + 1) <= 8 * CELLS:  # else all are aligned
-        cells, places = np.zeros((len(rest), len(kept) + 1), bool), np.full((len(rest), sizes.max()), len(kept))
-        cells[who, column] = True
-        places[who, spots] = column
-    for first in range(0, len(mine), BLOCK):
-        block = row_at[mine[first : first + BLOCK]]
+    kind = np.dtype(np.int8 if sizes.max() < 128 else np.int32)
+    where = None
+    if len(rest) * (len(kept) + 1) * kind.itemsize <= 8 * CELLS:  # else all are aligned
+        where, shingles = np.full((len(rest), len(kept) + 1), -1, kind), np.full((len(rest), sizes.max()), len(kept))
+        where[who, column] = spots
+        shingles[who, spots] = column
+    for begin in range(0, len(mine), BLOCK):
+        block = row_at[mine[begin : begin + BLOCK]]
         shared = np.zeros((len(block), len(rest)), np.float32)
         width = max(256, CELLS // len(rest))
         for low in range(0, len(kept), width):
@@ -337,23 +338,61 @@ def _overlaps(texts: list[np.ndarray], node: np.ndarray, open_: np.ndarray, lead
             i, j = a[low : low + BLOCK], b[low : low + BLOCK]
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
-            likely = np.ones(len(i), bool)
-            if cells is not None and len(i):
-                p, q = row_at[i], row_at[j]
-                ours, theirs = (_densest(cells[v[:, None], places[u]], t) for u, v in ((p, q), (q, p)))
-                # Of shares x and y of two sets that are common, the Jaccard similarity is 1 / (1 / x + 1 / y - 1).
-                likely = repeats[p] | repeats[q] | (1 / ours + 1 / theirs - 1 <= 1 / similarity + 1e-6)
-            yield from zip(i.tolist(), j.tolist(), likely.tolist())
-
-
-def _densest(held: np.ndarray, t: int) -> np.ndarray:
-    """The greatest share of true cells in a run of t or more of each row (of a thousandth at least)."""
-    sums = np.zeros((len(held), held.shape[1] + 1), np.int16)
-    np.cumsum(held, 1, out=sums[:, 1:])
-    best = np.full(len(held), 0.001)
-    for width in range(t, held.shape[1] + 1):
-        np.maximum(best, (sums[:, width:] - sums[:, :-width]).max(1) / width, out=best)
-    return best
+            if not len(i):
+                continue
+            x, y = np.where(node[i] > node[j], (i, j), (j, i))
+            found: list = [None] * len(x)
+            if where is not None:
+                known = np.flatnonzero(~repeats[x] & ~repeats[y])
+                p, q = x[known], y[known]
+                for k, span in zip(known.tolist(), _around_all(where[row_at[q][:, None], shingles[row_at[p]]].astype(np.int32), first[p], last[p], first[q], last[q], t, similarity, gap)):
+                    found[k] = span
+            for p, q, span in zip(x.tolist(), y.tolist(), found):
+                if label[p] != label[q]:
+                    yield p, q, span() if callable(span) else span
+
+
+def _around_all(at: np.ndarray, first: np.ndarray, last: np.ndarray, from_: np.ndarray, to: np.ndarray, t: int, similarity: float, gap: int) -> list:
+    """For each row the longest passage (start, end, start, end, similarity) of ``align``'s kind that holds a key, or ();
+    where only a part of a run can be one, a function that finds it.
+
+    ``at`` has the place in y of each shingle of x (-1: none), of texts that repeat no shingle, so the shingles of a run
+    lie in order in both and its set sizes are its lengths. The key stands at first to last in x and at from_ to to in y.
+    """
+    n, spot = len(at), np.arange(at.shape[1], dtype=np.int32)
+    met, row = at >= 0, np.arange(n)
+    before = np.full(at.shape, -1, np.int32)
+    np.maximum.accumulate(np.where(met, spot, np.int32(-1))[:, :-1], 1, out=before[:, 1:])
+    ahead, beyond = spot - before, at - np.take_along_axis(at, np.maximum(before, 0), 1)
+    run = np.cumsum(met & ((before < 0) | (ahead > gap) | (beyond <= 0) | (abs(beyond - ahead) > gap)), 1, dtype=np.int32)
+    met &= (run == run[row, first][:, None]) & met[row, first][:, None]
+    starts, ends = met & (spot <= first[:, None]) & (at <= from_[:, None]), met & (spot >= last[:, None]) & (at >= to[:, None])
+    low, high = starts.argmax(1), at.shape[1] - 1 - ends[:, ::-1].argmax(1)
+    count = np.cumsum(met, 1, dtype=np.int32)
+
+    def measure(row, low, high):
+        both, wide, tall = count[row, high] - count[row, low] + 1, high - low + 1, at[row, high] - at[row, low] + 1
+        return wide, (wide >= t) & (tall >= t), both / np.maximum(1, wide + tall - both)
+
+    def part(k):
+        a, b = np.flatnonzero(starts[k])[:, None], np.flatnonzero(ends[k])[None]
+        wide, fits, scores = measure(k, a, b)
+        rank = np.where(fits & (scores >= similarity), wide + scores / 2, 0)
+        i, j = np.unravel_index(rank.argmax(), rank.shape)
+        return (int(a[i, 0]), int(b[0, j]) + SHINGLE, int(at[k, a[i, 0]]), int(at[k, b[0, j]]) + SHINGLE, float(scores[i, j])) if rank[i, j] else ()
+
+    _, fits, score = measure(row, low, high)
+    able = starts[row, low] & ends[row, high] & fits
+    spans = zip(low.tolist(), (high + SHINGLE).tolist(), at[row, low].tolist(), (at[row, high] + SHINGLE).tolist(), score.tolist())
+    out = [span if ok else () for ok, span in zip((able & (score >= similarity)).tolist(), spans)]
+    parts = np.flatnonzero(able & (score < similarity))
+    # A part is alike enough if what its end is worth exceeds what its start is, of shingles shared less shingles spanned.
+    worth = (1 + similarity) * count[parts] - similarity * (spot + at[parts])
+    least = np.minimum.accumulate(np.where(starts[parts], worth, np.inf), 1)[:, : max(0, at.shape[1] - t + 1)]
+    best = np.where(ends[parts], worth, -np.inf)[:, t - 1 :] - least
+    for k in parts[(best > similarity - 1 - 1e-6).any(1)].tolist():
+        out[k] = partial(part, k)
+    return out
 
 
 SPANS = "array<struct<start:long,end:long,lead_start:long,lead_end:long,similarity:double>>"
