@@ -312,6 +312,19 @@ def test_part_of_a_run_around_a_key_is_found():
     assert (link["node"], link["lead"]) == (2, 1) and (link["start"], link["end"]) == (34, 103) and abs(link["similarity"] - 60 / 70) < 1e-9
 
 
+def test_runs_are_split_at_gaps_and_not_in_equal_stretches():
+    import numpy as np
+
+    from tracewarden.llm.textnp import ngrams
+
+    rng = np.random.default_rng(12)
+    own = lambda k: rng.integers(0, 1 << 60, k)
+    texts = worn(rng, own, 64, 5)
+    for x, y in (texts, texts[::-1]):
+        (span,) = passages.align(*(ngrams(np.array([*own(9), *v, *own(9)], np.uint64), 5) for v in (x, y)), 50, 0.8, 12)
+        assert span[0] <= 39 and span[1] == 103 and span[:2] == span[2:4] and span[4] >= 0.8
+
+
 def test_passages_around_a_key_against_brute_force():
     import numpy as np
 

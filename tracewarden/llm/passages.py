@@ -202,7 +202,7 @@ def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap:
         # A run that starts elsewhere in y may have its own beginning where the last run was.
         i, j = spots[k], places[froms[k]]
         ahead, back = chain(i, j, 1), chain(i, j, -1)
-        runs.append([*back[::-1], (i, j), *ahead])
+        runs.append([*back[::-1], *ahead])  # first and last place of each equal stretch
         k = bisect_right(spots, ahead[-1][0])
     out, todo = [], runs
     while todo:
@@ -215,8 +215,8 @@ def align(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float, gap:
         score = both / (len(sx) + len(sy) - both)
         if score >= similarity:
             out.append((i0, i1 + SHINGLE, j0, j1 + SHINGLE, score))
-        elif len(run) > 1:
-            wide = max(range(1, len(run)), key=lambda k: max(run[k][0] - run[k - 1][0], run[k][1] - run[k - 1][1]))
+        elif len(run) > 2:
+            wide = max(range(2, len(run), 2), key=lambda k: max(run[k][0] - run[k - 1][0], run[k][1] - run[k - 1][1]))
             todo += [run[:wide], run[wide:]]
     return sorted({*out, *_exact(x, y, at, out, min_words)})
 
