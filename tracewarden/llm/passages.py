@@ -432,7 +432,8 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.ascontiguousarray(rows[:, 0]), nodes[rows[:, 1]], np.ascontiguousarray(rows[:, 2]), np.ascontiguousarray(rows[:, 3]))], names=["key", "node", "start", "end"])
 
     rows = base.select("text").mapInArrow(lean(spread), "key long, node long, start long, end long")
-    open_ = cut(lookup(rows, lists, ["key"], "inner").distinct(), "open")
+    # Dealt out anew, so that a key of very many rows is split where it is joined.
+    open_ = cut(lookup(rows, lists, ["key"], "inner").repartition("key", "node", "start").distinct(), "open")
     release(lists)
     texts = _texts(base, open_.select("node").distinct(), members)
 
